@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import jaccard_join, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op7_sharding": sharding.op7_sharding,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op8_jaccard_join": jaccard_join.OP8_SQL,
 }
