@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, sharding, substring_dedup, token_counts
+from . import bpe, jaccard_join, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op4_bpe": bpe.op4_bpe,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_sharding": sharding.op7_sharding,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
