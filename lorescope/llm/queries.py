@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, sharding, substring_dedup, token_counts
+from . import bpe, importance, jaccard_join, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_sharding": sharding.op7_sharding,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op10_quality_classifier": importance.op10_quality_classifier,
 }
 
 ORACLE_SQL = {
