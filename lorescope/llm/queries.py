@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, importance, jaccard_join, sharding, substring_dedup, token_counts
+from . import bpe, decontamination, importance, jaccard_join, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_bpe": bpe.op4_bpe,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_sharding": sharding.op7_sharding,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
