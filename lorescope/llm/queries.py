@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, fingerprints, importance, jaccard_join, line_dedup, sharding, substring_dedup, token_counts
+from . import bpe, chat_format, decontamination, fingerprints, importance, jaccard_join, line_dedup, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_chat_format": chat_format.op3_chat_format,
     "op4_bpe": bpe.op4_bpe,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
