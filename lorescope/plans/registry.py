@@ -1,4 +1,463 @@
-"""Every registered query and its SQL, by name."""
+"""Every registered query and its SQL, by name.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+A query applies the operator named in its comment to the driver's tables, whole.  Doubles
+are rounded to six places in both engines; arrays become joined strings.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import channel, codediff, docdiff, graph, highlevel, linking, patterns, recommend, reports
+from . import tables as D
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_LINKS = """l AS (SELECT l_orderkey AS context, l_partkey AS element, o_custkey AS global_context, year(o_orderdate) AS year, quarter(o_orderdate) AS quarter,
+       l_linenumber AS line, l_returnflag = 'R' AS in_snippet, l_quantity AS quantity, l_suppkey AS supplier FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_EDGES = """e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation
+       UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _side(spark, d, year):
+    return D.links(spark, d).filter(F.col("year") == year).select("context", "element")
+
+
+# -- high-level links ---------------------------------------------------------------
+
+
+@query(f"""WITH {_LINKS}, a AS (SELECT DISTINCT context, element FROM l WHERE year = 1995), b AS (SELECT DISTINCT context, element FROM l WHERE year = 1996)
+SELECT a.context AS left_context, b.context AS right_context, count(*) AS n_common FROM a JOIN b USING (element) GROUP BY ALL HAVING count(*) > 1""")
+def high_level_links(spark, d):
+    """HL-1"""
+    return highlevel.high_level_links(_side(spark, d, 1995), _side(spark, d, 1996), 1)
+
+
+@query(f"""WITH {_LINKS}, a AS (SELECT DISTINCT context, element FROM l WHERE year = 1995), b AS (SELECT DISTINCT context, element FROM l WHERE year = 1996),
+p AS (SELECT a.context AS x, b.context AS y, count(*) AS n FROM a JOIN b USING (element) GROUP BY ALL HAVING count(*) > 1)
+SELECT x AS left_context, count(*) AS n_links, round(avg(n), 6) AS avg_common FROM p GROUP BY x""")
+def high_level_report(spark, d):
+    """HL-2, HL-3"""
+    common = highlevel.common_elements(_side(spark, d, 1995), _side(spark, d, 1996), 1)
+    return highlevel.report(common, "left_context", "right_context").withColumn("avg_common", F.round("avg_common", 6))
+
+
+# -- graph --------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, t AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT t.node, e.parent, t.depth + 1 FROM t JOIN e ON t.ancestor = e.child)
+SELECT node, ancestor, min(depth)::INTEGER AS depth FROM t GROUP BY ALL""")
+def code_element_closure(spark, d):
+    """CTX-1"""
+    return graph.ancestors(D.hierarchy_edges(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, t AS (SELECT child AS node, parent AS ancestor FROM e UNION SELECT t.node, e.parent FROM t JOIN e ON t.ancestor = e.child),
+n AS (SELECT child AS v FROM e UNION SELECT parent FROM e)
+SELECT node, count(DISTINCT member) AS n_members FROM (SELECT v AS node, v AS member FROM n UNION SELECT node, ancestor FROM t UNION SELECT ancestor, node FROM t) GROUP BY node""")
+def hierarchy_size(spark, d):
+    """CTX-2, CTX-3"""
+    e = D.hierarchy_edges(spark, d)
+    nodes = e.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
+    return graph.hierarchy(nodes, e).groupBy("node").agg(F.countDistinct("member").alias("n_members"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, t AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT t.node, e.parent, t.depth + 1 FROM t JOIN e ON t.ancestor = e.child)
+SELECT node, arg_max(ancestor, depth) AS root FROM t GROUP BY node""")
+def root_context(spark, d):
+    """HTM-17"""
+    return graph.root_of(D.hierarchy_edges(spark, d))
+
+
+# -- patterns and coverage ------------------------------------------------------------
+
+
+@query("SELECT p_brand AS head, p_type AS kind, count(*) AS n_members FROM part GROUP BY ALL")
+def declaration_patterns(spark, d):
+    """PAT-1"""
+    return patterns.declaration_patterns(D.elements(spark, d)).groupBy("head", "kind").agg(F.count(F.lit(1)).alias("n_members"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, t AS (SELECT child AS node, parent AS ancestor FROM e UNION SELECT t.node, e.parent FROM t JOIN e ON t.ancestor = e.child)
+SELECT 'h' AS criterion1, parent AS head, left(child, 1) AS kind, count(DISTINCT child) AS n_members FROM e GROUP BY ALL
+UNION ALL SELECT 'hd', ancestor, left(node, 1), count(DISTINCT node) FROM t GROUP BY ALL""")
+def hierarchy_patterns(spark, d):
+    """PAT-2"""
+    e = D.hierarchy_edges(spark, d)
+    nodes = e.select(F.col("child").alias("id"), F.substring("child", 1, 1).alias("kind"))
+    return patterns.hierarchy_patterns(nodes, e).groupBy("criterion1", "head", "kind").agg(F.count(F.lit(1)).alias("n_members"))
+
+
+@query("""SELECT p_brand AS head, p_type AS kind, count(*) FILTER (p_size <= 25) AS n_members FROM part GROUP BY ALL HAVING count(*) FILTER (p_size <= 25) BETWEEN 1 AND count(*) - 1""")
+def not_abstract_patterns(spark, d):
+    """PAT-3"""
+    e = D.elements(spark, d)
+    found = patterns.not_abstract_patterns(patterns.declaration_patterns(e), e)
+    named = found.join(e.select(F.col("id").alias("member"), F.col("kind").alias("type")), "member")
+    return named.groupBy("head", F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("n_members"))
+
+
+_TOKENS = """w AS (SELECT p_partkey AS id, p_brand AS head, p_type AS kind, list_filter(string_split(lower(p_name), ' '), lambda x: x <> '') AS t FROM part),
+x AS (SELECT id, head, kind, token, CASE WHEN t[1] = token THEN 'p' WHEN t[-1] = token THEN 's' ELSE 'm' END AS token_pos FROM (SELECT *, unnest(list_distinct(t)) AS token FROM w))"""
+
+
+def _name_tokens():
+    return F.filter(F.split("simple_name", " "), lambda x: x != "")
+
+
+@query(f"WITH {_TOKENS} SELECT token, token_pos, kind, count(*) AS n_members FROM x GROUP BY ALL HAVING count(*) > 1")
+def token_patterns(spark, d):
+    """PAT-4"""
+    return patterns.token_patterns(D.elements(spark, d), _name_tokens()).groupBy("token", "token_pos", "kind").agg(F.count(F.lit(1)).alias("n_members"))
+
+
+@query(f"WITH {_TOKENS} SELECT head, token, token_pos, kind, count(*) AS n_members FROM x GROUP BY ALL HAVING count(*) > 1")
+def token_patterns_within(spark, d):
+    """PAT-5"""
+    e = D.elements(spark, d)
+    found = patterns.token_patterns_within(patterns.declaration_patterns(e), e, _name_tokens())
+    return found.groupBy("head", "token", "token_pos", "kind").agg(F.count(F.lit(1)).alias("n_members"))
+
+
+_COVER = f"""{_LINKS}, m AS (SELECT p_brand AS brand, p_type AS kind, p_partkey AS member FROM part),
+z AS (SELECT brand, kind, count(*) AS n_members FROM m GROUP BY ALL),
+c AS (SELECT brand, kind, year, quarter, count(DISTINCT member) AS n_covered FROM m JOIN l ON l.element = m.member GROUP BY ALL),
+v AS (SELECT *, n_covered / n_members::DOUBLE AS coverage, n_covered / n_members::DOUBLE >= 0.5 AND n_members > 1 AND n_covered <> 1 AS valid FROM c JOIN z USING (brand, kind))"""
+
+
+def _coverage(spark, d):
+    members = D.elements(spark, d).select(F.col("container").alias("brand"), "kind", F.col("id").alias("member"))
+    linked = D.links(spark, d).select("year", "quarter", F.col("element").alias("member"))
+    return patterns.coverage(members, linked, ["brand", "kind"], ["year", "quarter"])
+
+
+@query(f"WITH {_COVER} SELECT brand, kind, year, quarter, n_members, n_covered, round(coverage, 6) AS coverage, valid, valid AND n_members > 1 AND coverage >= 0.4 AS interesting FROM v")
+def pattern_coverage(spark, d):
+    """COV-1, COV-2, COV-6"""
+    return _coverage(spark, d).select("brand", "kind", F.col("year").cast("long"), F.col("quarter").cast("long"), "n_members", "n_covered", F.round("coverage", 6).alias("coverage"), "valid", patterns.is_interesting().alias("interesting"))
+
+
+@query(f"""WITH {_COVER}, a AS (SELECT * FROM v WHERE year = 1995 AND valid AND coverage >= 0.4), b AS (SELECT * FROM v WHERE year = 1996)
+SELECT a.brand, a.kind, a.quarter, round(a.coverage, 6) AS old_coverage, round(b.coverage, 6) AS new_coverage, round(b.coverage - a.coverage, 6) AS coverage_diff FROM a JOIN b USING (brand, kind, quarter)""")
+def coverage_diff(spark, d):
+    """REC-1, REC-4"""
+    c = _coverage(spark, d)
+    out = recommend.coverage_diff(c.filter("year = 1995"), c.filter("year = 1996"), ["brand", "kind", "quarter"], patterns.is_interesting())
+    return out.select("brand", "kind", F.col("quarter").cast("long"), *[F.round(x, 6).alias(x) for x in ("old_coverage", "new_coverage", "coverage_diff")])
+
+
+@query(f"""WITH {_LINKS}, a AS (SELECT global_context, count(DISTINCT element) AS n FROM l WHERE year = 1995 GROUP BY ALL), b AS (SELECT global_context, count(DISTINCT element) AS n FROM l WHERE year = 1996 GROUP BY ALL)
+SELECT global_context AS head, coalesce(a.n, 0) AS old_size, coalesce(b.n, 0) AS new_size, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'matched' END AS change,
+coalesce(b.n, 0) - coalesce(a.n, 0) AS extension_diff FROM a FULL JOIN b USING (global_context)""")
+def pattern_diff(spark, d):
+    """REC-3"""
+    side = lambda y: D.links(spark, d).filter(F.col("year") == y).select(F.col("global_context").alias("head"), F.col("element").alias("member"))
+    return recommend.pattern_diff(side(1995), side(1996), ["head"])
+
+
+@query(f"""WITH {_LINKS}, a AS (SELECT DISTINCT supplier, element FROM l WHERE year = 1995), b AS (SELECT DISTINCT supplier, element FROM l WHERE year = 1996), c AS (SELECT DISTINCT supplier, element FROM l WHERE year = 1996 AND in_snippet)
+SELECT supplier AS head, element AS member FROM (SELECT * FROM b EXCEPT SELECT * FROM a EXCEPT SELECT * FROM c)""")
+def add_recommendations(spark, d):
+    """REC-5"""
+    side = lambda y: D.links(spark, d).filter(F.col("year") == y).select(F.col("supplier").alias("head"), F.col("element").alias("member"), "in_snippet")
+    return recommend.additions(side(1995).select("head", "member"), side(1996), side(1996).filter("in_snippet").select("head", "member"), ["head"])
+
+
+@query(f"""WITH {_LINKS}, o AS (SELECT DISTINCT element AS id FROM l WHERE year = 1995), n AS (SELECT DISTINCT element AS id FROM l WHERE year = 1996)
+SELECT id, 'deleted' AS reason FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL
+SELECT o.id, 'deprecated' FROM o JOIN n USING (id) JOIN part ON p_partkey = o.id WHERE p_size > 45 OR p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) % 3 = 0)""")
+def remove_recommendations(spark, d):
+    """REC-10..13: elements linked in 1995 that have no equivalent among those of 1996, or are deprecated there, themselves or by their brand."""
+    part = D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_name").alias("fqn"), F.concat_ws("#", "p_partkey", "p_name").alias("human_string"), (F.col("p_size") > 45).alias("deprecated"))
+    brands = part.groupBy("brand").agg((F.count(F.lit(1)) % 3 == 0).alias("deprecated")).select((-F.regexp_extract("brand", r"(\d+)", 1).cast("long") - 1).alias("id"), "brand", F.lit("package").alias("kind"), F.col("brand").alias("fqn"), F.col("brand").alias("human_string"), "deprecated")
+    edges = part.select(F.col("id").alias("child"), (-F.regexp_extract("brand", r"(\d+)", 1).cast("long") - 1).alias("parent"))
+    seen = lambda y: D.links(spark, d).filter(F.col("year") == y).select(F.col("element").alias("id")).distinct()
+    old = part.join(seen(1995), "id", "left_semi").drop("brand")
+    new = part.join(seen(1996), "id", "left_semi").unionByName(brands).drop("brand")
+    linked = seen(1995).withColumnRenamed("id", "element")
+    return recommend.removals(linked, old, new, edges).select("id", "reason")
+
+
+@query(f"""WITH {_LINKS}, k AS (SELECT DISTINCT supplier, element, context, global_context FROM l WHERE year = 1997),
+n AS (SELECT supplier, count(DISTINCT element) AS n FROM k GROUP BY ALL),
+s AS (SELECT supplier, 'section' AS level, context AS place, count(DISTINCT element) / n::DOUBLE AS share FROM k JOIN n USING (supplier) GROUP BY supplier, context, n HAVING count(DISTINCT element) / n::DOUBLE > 0.75),
+p AS (SELECT supplier, 'page' AS level, global_context AS place, count(DISTINCT element) / n::DOUBLE AS share FROM k JOIN n USING (supplier) WHERE supplier NOT IN (SELECT supplier FROM s) GROUP BY supplier, global_context, n HAVING count(DISTINCT element) / n::DOUBLE > 0.75),
+f AS (SELECT * FROM s UNION ALL SELECT * FROM p)
+SELECT supplier, level, place, round(share, 6) AS share FROM f UNION ALL SELECT supplier, 'multi_page', NULL, NULL FROM n WHERE supplier NOT IN (SELECT supplier FROM f)""")
+def pattern_locations(spark, d):
+    """COV-7"""
+    k = D.links(spark, d).filter("year = 1997").select("supplier", F.col("element").alias("member"), F.col("context").alias("section"), F.col("global_context").alias("page"))
+    return patterns.locations(k, ["supplier"]).withColumn("share", F.round("share", 6))
+
+
+@query(None)
+def combined_coverage(spark, d):
+    """COV-3, COV-4: greedy, hence not SQL."""
+    c = _coverage(spark, d).filter(patterns.is_interesting())
+    members = D.elements(spark, d).groupBy(F.col("container").alias("brand"), "kind").agg(F.sort_array(F.collect_set("id")).alias("members"))
+    keyed = c.join(members, ["brand", "kind"]).withColumn("pattern", F.xxhash64("brand", "kind"))
+    return patterns.combine_coverage(keyed.select("year", "quarter", "pattern", "members", "coverage"), ["year", "quarter"])
+
+
+@query(None)
+def super_recommendations(spark, d):
+    """REC-6: greedy, hence not SQL."""
+    side = D.links(spark, d).filter("year = 1996").groupBy("supplier", "quarter").agg(F.sort_array(F.collect_set("element")).alias("members"))
+    return recommend.super_recommendations(side.select("quarter", F.col("supplier").alias("rec"), "members"), ["quarter"])
+
+
+# -- diffs --------------------------------------------------------------------------
+
+
+@query(f"""WITH {_LINKS}, e AS (SELECT DISTINCT year, p_type AS kind, p_partkey, p_size > 25 AS gone FROM l JOIN part ON p_partkey = element)
+SELECT year::VARCHAR AS codebase, count(*) FILTER (kind = 'ECONOMY') AS packages, count(*) FILTER (kind = 'STANDARD') AS types, count(*) FILTER (kind = 'PROMO') AS methods, count(*) FILTER (kind = 'STANDARD' AND gone) AS deprecated_types, count(*) FILTER (kind = 'PROMO' AND gone) AS deprecated_methods FROM e GROUP BY year""")
+def codebase_diff_counts(spark, d):
+    """DIF-1"""
+    names = {"ECONOMY": "package", "STANDARD": "class", "PROMO": "method"}
+    kind = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in names.items()])
+    e = D.elements(spark, d).select(F.col("id").alias("element"), kind.alias("kind"), F.col("abstract").alias("deprecated"))
+    seen = D.links(spark, d).select(F.col("year").cast("string").alias("codebase"), "element").distinct().join(e, "element")
+    return codediff.kind_counts(seen).select("codebase", "packages", "types", "methods", "deprecated_types", "deprecated_methods")
+
+
+@query(f"""WITH {_LINKS}, a AS (SELECT DISTINCT element, supplier FROM l WHERE year = 1995), b AS (SELECT DISTINCT element, supplier FROM l WHERE year = 1996)
+SELECT element, supplier, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'common' END AS change FROM (SELECT *, 1 AS k FROM a) a FULL JOIN (SELECT *, 1 AS k FROM b) b USING (element, supplier)""")
+def codebase_set_diff(spark, d):
+    """DIF-2..4"""
+    side = lambda y: D.links(spark, d).filter(F.col("year") == y)
+    return codediff.set_diff(side(1995), side(1996), ["element", "supplier"])
+
+
+@query(f"""WITH {_LINKS}, a AS (SELECT element, in_snippet, context * 10 + line AS id, row_number() OVER (PARTITION BY element, in_snippet ORDER BY context * 10 + line) AS n FROM l WHERE year = 1995),
+b AS (SELECT element, in_snippet, context * 10 + line AS id, row_number() OVER (PARTITION BY element, in_snippet ORDER BY context * 10 + line) AS n FROM l WHERE year = 1996)
+SELECT element, in_snippet, id, 'removed' AS change FROM a ANTI JOIN b USING (element, in_snippet, n) UNION ALL SELECT element, in_snippet, id, 'added' FROM b ANTI JOIN a USING (element, in_snippet, n)""")
+def multiset_link_diff(spark, d):
+    """DOC-10"""
+    side = lambda y: D.links(spark, d).filter(F.col("year") == y).select("element", "in_snippet", (F.col("context") * 10 + F.col("line")).alias("id"))
+    return docdiff.multiset_diff(side(1995), side(1996), ["element", "in_snippet"])
+
+
+@query(f"""WITH {_LINKS}, w AS (SELECT global_context, year, sum(quantity) AS n FROM l GROUP BY ALL)
+SELECT a.global_context AS id, round(CASE WHEN a.n = 0 THEN b.n * 100 ELSE (b.n - a.n) * 100 / a.n END, 6) AS change FROM w a JOIN w b USING (global_context) WHERE a.year = 1995 AND b.year = 1996 AND a.n <> b.n""")
+def word_count_changes(spark, d):
+    """DOC-9"""
+    side = lambda y: D.links(spark, d).filter(F.col("year") == y).groupBy(F.col("global_context").alias("id")).agg(F.sum("quantity").alias("word_count"))
+    old, new = side(1995), side(1996)
+    same = old.select(F.col("id").alias("old_id"), F.col("id").alias("new_id"))
+    return docdiff.word_count_changes(same, old, new).select(F.col("old_id").alias("id"), F.round("change", 6).alias("change"))
+
+
+@query(None)
+def page_title_match(spark, d):
+    """DOC-1, 2, 4, 8: title pages of a language against those of another host of it (difflib ratios aren't SQL)."""
+    from ..sources import html
+
+    p = html.page_heads(D.table(spark, d, "pages"), "page_id", "html")
+    p = p.join(D.table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"/(\w\w)/\d", 1).alias("lang"), F.regexp_extract("url", r"example\.(\w+)", 1).alias("host")), "page_id")
+    side = lambda h: p.filter(F.col("host") == h).select(F.col("lang").alias("document"), F.col("page_id").alias("id"), "title")
+    old, new = side("com"), side("net")
+    return docdiff.match(old, new, docdiff.score_pages(old, new))
+
+
+# -- strings --------------------------------------------------------------------------
+
+_SIM = """bg(s) AS (CASE WHEN length(s) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length(s)), lambda i: substr(upper(s), i, 2))) END)"""
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part), b AS (SELECT p_name, split_part(p_name, ' ', 1) AS k, list_distinct(list_transform(range(1, length(p_name)), lambda i: substr(upper(p_name), i, 2))) AS g FROM n)
+SELECT x.p_name AS a, y.p_name AS b, round(CASE WHEN x.p_name = y.p_name THEN 1.0 ELSE len(list_intersect(x.g, y.g)) * 2.0 / (len(x.g) + len(y.g)) END, 6) AS similarity FROM b x JOIN b y ON x.k = y.k AND x.p_name <= y.p_name""")
+def dice_similarity(spark, d):
+    """STR-1, over pairs of distinct names with the same first word"""
+    n = D.table(spark, d, "part").select("p_name", F.split("p_name", " ")[0].alias("k")).distinct()
+    pairs = n.select(F.col("p_name").alias("a"), "k").join(n.select(F.col("p_name").alias("b"), "k"), "k").filter("a <= b")
+    return pairs.select("a", "b", F.round(X.dice_similarity("a", "b"), 6).alias("similarity"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''))::INTEGER AS n_words FROM documents")
+def word_count(spark, d):
+    """HTM-7"""
+    return D.table(spark, d, "documents").select("doc_id", X.word_count("text").alias("n_words"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\n(?:[ \t\r\x0B\f]*\n){1,}'), lambda x: trim(translate(x, chr(10) || chr(9) || chr(13), '   ')) <> ''))::INTEGER AS n_paragraphs FROM documents")
+def paragraphs(spark, d):
+    """SEG-1"""
+    return D.table(spark, d, "documents").select("doc_id", F.size(X.paragraphs("text")).alias("n_paragraphs"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(replace(replace(replace(text, chr(10), ' '), chr(9), ' '), chr(13), ''), ' +', ' ', 'g')) AS flat FROM documents")
+def clean_breaks(spark, d):
+    """STR-6"""
+    return D.table(spark, d, "documents").select("doc_id", F.sha2(X.clean_breaks("text", True), 256).alias("flat"))
+
+
+@query(r"""SELECT p_partkey AS id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(replace(p_name, ' ', '') || upper(left(p_type, 1)) || lower(substr(p_type, 2)), '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), ' '), lambda x: x <> ''), '|') AS tokens FROM part""")
+def camel_tokens(spark, d):
+    """STR-2"""
+    name = F.concat(F.replace("p_name", F.lit(" ")), F.initcap("p_type"))
+    return D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(X.camel_tokens(name), "|").alias("tokens"))
+
+
+@query(r"""SELECT p_partkey AS id, regexp_replace(replace(p_brand || '.' || p_name || '$' || p_type || '<int>[]', '$', '.'), '[\[<].*$', '') AS fqn, p_type AS simple_name, p_brand || '.' || p_name AS package FROM part""")
+def java_names(spark, d):
+    """SEG-3, SEG-4"""
+    raw = F.concat("p_brand", F.lit("."), "p_name", F.lit("$"), "p_type", F.lit("<int>[]"))
+    return D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.java_fqn(raw).alias("fqn"), X.java_simple_name(raw).alias("simple_name"), X.package_name(X.java_fqn(raw)).alias("package"))
+
+
+@query(r"""SELECT page_id, regexp_replace(url, '#.*$', '') AS bare, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)', 1) AS directory, regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g') AS safe FROM pages""")
+def url_parts(spark, d):
+    """SRC-24"""
+    return D.table(spark, d, "pages").select("page_id", X.without_fragment("url").alias("bare"), X.url_directory("url").alias("directory"), X.safe_id("url").alias("safe"))
+
+
+# -- channels ---------------------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT lower(role) AS t, min({'c': conv_id, 't': turn}) AS f FROM conversations GROUP BY 1), k AS (SELECT c.conv_id, c.turn, f.f.c * 1000 + f.f.t AS thread_id FROM conversations c JOIN f ON lower(c.role) = f.t)
+SELECT conv_id, turn, thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY conv_id, turn) - 1 AS message_index FROM k""")
+def thread_index(spark, d):
+    """CH-10, CH-12: titles are "Re: " and the role; the three threads that come of it hold all messages"""
+    c = D.table(spark, d, "conversations").select(F.lit(1).alias("channel"), F.concat(F.lit("Re: "), "role").alias("title"), F.col("conv_id").alias("msg_date"), (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "turn")
+    out = channel.index_threads(channel.assign_threads(c))
+    return out.select(F.col("msg_date").alias("conv_id"), "turn", "thread_id", F.col("message_index").cast("long").alias("message_index"))
+
+
+@query("SELECT conv_id AS thread_id, count(*) AS n_messages, min(turn) AS first_date, max(turn) AS last_date, arg_min(role, turn) AS title FROM conversations GROUP BY 1")
+def thread_table(spark, d):
+    """CH-8"""
+    c = D.table(spark, d, "conversations").select(F.col("conv_id").alias("thread_id"), F.col("role").alias("title"), F.col("turn").alias("msg_date"), F.col("turn").alias("message_id"))
+    return channel.thread_table(c)
+
+
+@query("""SELECT user_id, count(*) AS n, count(*) FILTER (event_type <> 'error') AS n_downloaded, coalesce(min(event_id) FILTER (event_type = 'error') - 1, max(event_id)) AS last_contiguous FROM events GROUP BY 1""")
+def toc_view(spark, d):
+    """SRC-13"""
+    e = D.table(spark, d, "events").select("user_id", F.col("event_id").alias("entry"), (F.col("event_type") != "error").alias("downloaded"))
+    return channel.toc_view(e, ["user_id"])
+
+
+@query("SELECT event_id AS entry FROM events WHERE event_id >= 100 AND event_id < 700 AND event_type = 'error'")
+def toc_to_download(spark, d):
+    """SRC-14"""
+    e = D.table(spark, d, "events").select(F.col("event_id").alias("entry"), (F.col("event_type") != "error").alias("downloaded"))
+    return channel.to_download(e, 100, 700).select("entry")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-05'")
+def messages_between(spark, d):
+    """CH-15"""
+    import datetime as dt
+
+    return channel.between(D.table(spark, d, "events"), dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 5), "ts").select("event_id")
+
+
+@query(r"SELECT doc_id, len(list_filter(string_split(replace(replace(text, chr(9), ' '), chr(13), ''), chr(10)), lambda x: NOT regexp_matches(x, '(?i)^\s*(?:from:|to:|sent:|subject:|to unsubscribe|unsubscribe|for additional commands)')))::INTEGER AS n_lines FROM documents")
+def content_lines(spark, d):
+    """CH-3"""
+    return D.table(spark, d, "documents").select("doc_id", F.size(channel.content_lines("text")).alias("n_lines"))
+
+
+# -- vocabulary, links and statistics -----------------------------------------------------
+
+
+@query(r"""WITH v AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\s+')) AS word FROM benchmark), w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS word FROM documents)
+SELECT doc_id, count(*) AS n_refs FROM w WHERE word IN (SELECT lower(word) FROM v WHERE word <> '') GROUP BY doc_id""")
+def code_word_refs(spark, d):
+    """EXT-14"""
+    split = lambda c: F.explode(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
+    v = D.table(spark, d, "benchmark").select(split("text").alias("word")).select(F.lower("word").alias("word")).distinct()
+    w = D.table(spark, d, "documents").select("doc_id", split("text").alias("word"))
+    counted = w.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    return reports.code_word_references(counted, v).groupBy("doc_id").agg(F.sum("n").alias("n_refs"))
+
+
+@query(f"""WITH {_LINKS}, s AS (SELECT context, min(element) AS element FROM l GROUP BY context HAVING count(*) = 1)
+SELECT global_context, p_brand AS package, count(*) AS n FROM (SELECT DISTINCT s.context, s.element, l.global_context FROM s JOIN l USING (context)) JOIN part ON p_partkey = element GROUP BY ALL""")
+def package_frequency(spark, d):
+    """LNK-8: an order is a reference, its lines candidates, a customer the context"""
+    l = D.links(spark, d).join(D.elements(spark, d).select(F.col("id").alias("element"), F.col("container").alias("package")), "element")
+    return linking.package_frequency(l.select(F.col("context").alias("ref_id"), "global_context", "package"), "global_context")
+
+
+@query("""WITH p AS (SELECT split_part(p_name, ' ', 1) AS k, p_brand || '.' || p_name AS fqn, p_partkey AS id FROM part), b AS (SELECT fqn, k, id, list_distinct(list_transform(range(1, length(fqn)), lambda i: substr(upper(fqn), i, 2))) AS g FROM p),
+r AS (SELECT s_suppkey AS ref_id, (SELECT k FROM b WHERE id = s_suppkey) AS k, 'Brand#' || (s_suppkey % 25 + 1) || '.' || (SELECT k FROM b WHERE id = s_suppkey) AS fqn FROM supplier),
+q AS (SELECT *, list_distinct(list_transform(range(1, length(fqn)), lambda i: substr(upper(fqn), i, 2))) AS g FROM r),
+s AS (SELECT ref_id, b.id, b.fqn, CASE WHEN q.fqn = b.fqn THEN 1.0 ELSE len(list_intersect(q.g, b.g)) * 2.0 / (len(q.g) + len(b.g)) END AS s FROM q JOIN b USING (k))
+SELECT ref_id, n_candidates, element_id FROM (SELECT ref_id, count(*) OVER (PARTITION BY ref_id) AS c, max(s) OVER (PARTITION BY ref_id) AS m, id AS element_id, CASE WHEN max(s) OVER (PARTITION BY ref_id) >= 0.8 THEN 1 ELSE count(*) OVER (PARTITION BY ref_id) END AS n_candidates,
+row_number() OVER (PARTITION BY ref_id ORDER BY s DESC, fqn, id) AS n FROM s) WHERE n = 1""")
+def best_candidate(spark, d):
+    """LNK-1, LNK-6: suppliers are references to the parts whose first word is that of the part of the same number"""
+    p = D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ")[0].alias("simple_name"), F.concat_ws(".", "p_brand", "p_name").alias("fqn"))
+    none = F.array().cast("array<string>")
+    e = p.select("id", F.lit("class").alias("kind"), "simple_name", "fqn", F.col("fqn").alias("human_string"), F.lit("").alias("package"), F.lit("").alias("container_fqn"), F.lit("").alias("container_simple"), none.alias("container_hierarchy"), F.lit(0).alias("n_descendants"), none.alias("param_types"))
+    s = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("ref_id")).join(p.select(F.col("id").alias("ref_id"), "simple_name"), "ref_id")
+    r = s.select("ref_id", F.lit("d").alias("source"), F.lit("class").alias("kind_hint"), "simple_name", F.concat(F.lit("Brand#"), (F.col("ref_id") % 25 + 1).cast("string"), F.lit("."), "simple_name").alias("fqn"), F.lit(True).alias("in_snippet"), F.lit(False).alias("single_ref"))
+    filters = spark.createDataFrame([], "fqn string, include_snippet boolean, one_ref_only boolean")
+    out = linking.link_classes(r, e, filters, ["class"])
+    return out.select("ref_id", F.size("potentials").cast("long").alias("n_candidates"), F.col("potentials")[0]["id"].alias("element_id"))
+
+
+@query(f"""WITH {_LINKS}, e AS (SELECT context, count(*) AS original_size, count(*) FILTER (NOT in_snippet) AS final_size, count(DISTINCT supplier) AS unique_types, bool_or(in_snippet) AS snippet, any_value(year) AS year FROM l GROUP BY context)
+SELECT year, count(*) AS n, round(avg(original_size), 6) AS original_mean, round(stddev_pop(original_size), 6) AS original_stddev, max(original_size) AS original_max, round(avg(final_size), 6) AS final_mean, round(stddev_pop(final_size), 6) AS final_stddev,
+count(*) FILTER (final_size > 0) AS n_linked, count(*) FILTER (final_size > 0 AND unique_types > 1) AS n_hard, count(*) FILTER (snippet) AS n_snippet FROM e GROUP BY year""")
+def link_stats(spark, d):
+    """LOG-3"""
+    e = D.links(spark, d).groupBy("context").agg(F.count(F.lit(1)).alias("original_size"), F.count_if(~F.col("in_snippet")).alias("final_size"), F.countDistinct("supplier").alias("unique_types"), F.max("in_snippet").alias("snippet"), F.max("year").alias("year")).withColumn("custom", F.lit(False))
+    s = reports.link_stats(e, ["year"])
+    r = lambda c, to: F.round(c, 6).alias(to)
+    return s.select(F.col("year").cast("long"), "n", r("original_size_mean", "original_mean"), r("original_size_stddev", "original_stddev"), F.col("original_size_max").alias("original_max"), r("final_size_mean", "final_mean"), r("final_size_stddev", "final_stddev"), "n_linked", "n_hard", "n_snippet")
+
+
+@query("SELECT p_partkey AS id, p_name AS simple_name FROM part WHERE p_type = 'PROMO' AND (lower(p_name) LIKE '%blue%' OR lower(p_brand) LIKE '%blue%')")
+def search(spark, d):
+    """SNK-6"""
+    return reports.search(D.elements(spark, d), ["simple_name", "container"], "Blue", kind="PROMO").select("id", "simple_name")
+
+
+@query("SELECT context, n_common FROM (SELECT l_orderkey AS context, count(DISTINCT l_partkey) AS n_common FROM lineitem GROUP BY 1) ORDER BY n_common DESC, context LIMIT 25")
+def top_report(spark, d):
+    """RPT-1: the 25 first are the report"""
+    n = D.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("context")).agg(F.countDistinct("l_partkey").alias("n_common"))
+    return recommend.top(n, F.desc("n_common"), F.asc("context"))
+
+
+# -- HTML -------------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, count(*) AS n_links, count(*) FILTER (regexp_matches(href, '^[A-Za-z][\w+.-]*:')) AS n_absolute FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'), '<script[\s\S]*?</script>|<style[\s\S]*?</style>', '', 'g'), '<a\s+[^>]*?href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""")
+def page_links(spark, d):
+    """SRC-3"""
+    from ..sources import html
+
+    links = html.page_links(D.table(spark, d, "pages"), "page_id", "html")
+    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(~X.is_relative("href")).alias("n_absolute"))
+
+
+@query(None)
+def page_sections(spark, d):
+    """HTM-9..16: sections and what belongs to them, from a real parse of each page"""
+    from ..sources import html
+
+    return html.flat_sections(D.table(spark, d, "pages"), "page_id", "html")
+
+
+@query("SELECT page_id FROM pages WHERE NOT regexp_matches(url, 'blog\\.')")
+def remove_page(spark, d):
+    """HTM-26"""
+    return D.table(spark, d, "pages").filter(~F.col("url").rlike(r"blog\.")).select("page_id")
