@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: Bytes of text that a kernel handles at once; bounds a worker's memory.
 BLOCK_BYTES = 1 << 20
@@ -202,3 +203,12 @@ def cut(df: DataFrame) -> DataFrame:
 def narrow(docs: DataFrame, *names: str) -> DataFrame:
     """Only these columns; extra columns, whatever their names, are left behind."""
     return docs.select(*[docs[n] for n in names])
+
+
+#: Most rows of a table of a few numbers each that is broadcast.
+SMALL_ROWS = 200_000
+
+
+def if_small(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if it has SMALL_ROWS rows at most; beyond that joins shuffle."""
+    return broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table

@@ -8,11 +8,11 @@ and with each token left out).  Each band takes the mode of least estimated cost
 In exact mode the E spare segments pay for skipping: empty segments and each set's most
 frequent signatures, in one global order, so that any two linked sets keep a common one.
 
-Around it: sets equal as wholes are one node; a prefix test (two linked sets share
-one of their 20 % + 1 smallest tokens) leaves out sets that share no such token,
-with tokens exchanged in packed form after a local merge; a pair is emitted only
-where no earlier lane has met it; odd sketches bound the difference from below;
-what is left is verified on the sets, block by block.
+Around it: sets equal as wholes are one node; a prefix test (of the smallest 30 % of
+its tokens a linked set shares at least a third) leaves out sets that share too few
+with all others together, with tokens exchanged in packed form after a local merge;
+a pair is emitted only where no earlier lane has met it; odd sketches bound the
+difference from below; what is left is verified on the sets, block by block.
 
 Defined results: null or empty text has an empty set and no links; fewer words than
 a shingle make one shingle; equal sets of two rows are linked, whatever the texts;
@@ -70,83 +70,104 @@ def node_id(s: np.ndarray) -> int:
     return int(C.mix(np.array([total], dtype=np.uint64) ^ C.U(len(s)))[0].astype(np.int64))
 
 
+def _slack(n: int, percent: int) -> int:
+    """Most tokens of a set of n that a linked set can lack."""
+    return n - -(-percent * n // 100)
+
+
 def prefix_length(n: int, percent: int) -> int:
-    """Smallest tokens of a set of n of which a linked set must share one."""
-    need = -(-percent * n // 100)
-    return n - need + 1
+    """Tokens of a set of n, from the smallest, that are exchanged."""
+    return _slack(n, percent) * 3 // 2 + 1
+
 
+def prefix_common(n: int, percent: int) -> int:
+    """How many of these a linked set must have among its own: prefixes of slack + l tokens share l, for the l of the smaller set."""
+    return _slack(-(-percent * n // 100), percent) // 2 + 1
 
-def _scan(width: int, percent: int, buckets: int):
-    """One row per text; packed prefix tokens of each set that the task sees for the first time; sets known to share a token."""
+
+def _identify(width: int):
+    """Size and identity of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        keys, nodes, held = [], [], 0
         for b in batches:
             for lo, hi, data, off in C.text_blocks(b.column(2)):
                 sets = shingle_sets(data, off, width)
-                ids = [node_id(s) for s in sets]
-                yield _rows(b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), [len(s) for s in sets], ids)
-                for s, i in zip(sets, ids):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_id(s) for s in sets], pa.int64())], names=["doc_id", "row_key", "n_shingles", "node"])
+
+    return run
+
+
+def _prefixes(width: int, percent: int, buckets: int):
+    """Packed prefix tokens of each set that the task sees for the first time, and how many of them the task's sets share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        keys, nodes, held = [], [], 0
+        for b in batches:
+            for _, _, data, off in C.text_blocks(b.column(0)):
+                for s in shingle_sets(data, off, width):
+                    i = node_id(s)
                     if len(s) and i not in seen:
                         seen.add(i)
                         p = s[: prefix_length(len(s), percent)]
                         keys.append(p)
-                        nodes.append(np.full(len(p), i, dtype=np.int64))
+                        nodes.append(i)
                         held += len(p)
                 if held >= FLUSH:
-                    yield from _packed(keys, nodes, buckets)
+                    yield _packed(keys, nodes, buckets)
                     keys, nodes, held = [], [], 0
         if held:
-            yield from _packed(keys, nodes, buckets)
+            yield _packed(keys, nodes, buckets)
 
     return run
 
 
-_SCAN = "doc_id long, row_key long, n_shingles long, node long, bucket int, tokens binary, owners binary, shared array<long>"
-
+_PACKED = "bucket int, tokens binary, owners binary, nodes binary, shared array<long>, times array<int>"
 
-def _rows(ids, keys, n, nodes) -> pa.RecordBatch:
-    k = len(n)
-    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), keys.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))], names=_names(_SCAN))
 
-
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
-
-
-def _groups(keys: np.ndarray, nodes: np.ndarray):
-    """Sorted order, group starts, and whether a group has different nodes."""
-    order = np.argsort(keys)
-    k, v = keys[order], nodes[order]
+def _shared(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted tokens k of owners v: group starts, owners of tokens that have different owners, and how many such tokens each has."""
     at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k, v, at, np.minimum.reduceat(v, at) != np.maximum.reduceat(v, at)
+    many = np.minimum.reduceat(v, at) != np.maximum.reduceat(v, at)
+    return at, *np.unique(v[np.repeat(many, np.diff(np.append(at, len(k))))], return_counts=True)
 
 
-def _packed(keys: list, nodes: list, buckets: int) -> Iterator[pa.RecordBatch]:
-    k, v, at, many = _groups(np.concatenate(keys), np.concatenate(nodes))
-    shared = np.unique(v[np.repeat(many, np.diff(np.append(at, len(k))))])
-    k, v = k[at], v[at]  # one owner of each token is enough for the other tasks
-    bucket = ((C.mix(k) >> C.U(32)) % C.U(buckets)).astype(np.int32)
+def _packed(keys: list, nodes: list, buckets: int) -> pa.RecordBatch:
+    k, v = np.concatenate(keys), np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(x) for x in keys])
+    order = np.argsort(k)
+    k, v, nodes = k[order], v[order], np.array(nodes, dtype=np.int64)
+    at, shared, times = _shared(k, v)
+    k, v = C.mix(k[at]), v[at]  # one owner of each token is enough for the other tasks
+    bucket = ((k >> C.U(32)) % C.U(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    kb, vb = k[order], v[order]
+    k, v = k[order].astype(np.uint32), v[order]  # 32 bits do inside a bucket: two tokens taken for one only keep a set for the exact steps
+    few = 8 * len(nodes) * buckets < 4 * len(k)
+    table = nodes.tobytes() if few else b""
+    v = v if few else nodes[v]
     some = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
-    n = len(some) + 1
-    none = pa.nulls(n, pa.int64())
-    yield pa.RecordBatch.from_arrays([
-        none, none, none, none, pa.array([*some, None], pa.int32()),
-        pa.array([*(kb[cuts[i] : cuts[i + 1]].tobytes() for i in some), None], pa.binary()),
-        pa.array([*(vb[cuts[i] : cuts[i + 1]].tobytes() for i in some), None], pa.binary()),
-        pa.array([*[None] * (n - 1), shared.tolist()], pa.list_(pa.int64())),
-    ], names=_names(_SCAN))
+    n = len(some)
+    return pa.RecordBatch.from_arrays([
+        pa.array([*some, None], pa.int32()), pa.array([*(k[cuts[i] : cuts[i + 1]].tobytes() for i in some), None], pa.binary()),
+        pa.array([*(v[cuts[i] : cuts[i + 1]].tobytes() for i in some), None], pa.binary()), pa.array([*[table] * n, None], pa.binary()),
+        pa.array([*[None] * n, nodes[shared].tolist()], pa.list_(pa.int64())), pa.array([*[None] * n, times.tolist()], pa.list_(pa.int32())),
+    ], names=[c.split()[0] for c in _PACKED.split(", ")])
+
+
+def _meet(width: int):
+    """How many tokens of this bucket each node shares with another task's node; in the rows that hold local counts, those."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() is None:
+            shared, times = (pa.concat_arrays([x.flatten() for x in table.column(c).chunks]) for c in ("shared", "times"))
+            return pa.table({"node": shared.cast(pa.int64()), "times": times.cast(pa.int64())})
+        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.uint32)
+        owners = np.concatenate([np.frombuffer(t, dtype=np.int64)[np.frombuffer(o, dtype=np.uint32)] if t else np.frombuffer(o, dtype=np.int64) for o, t in zip(table.column("owners").to_pylist(), table.column("nodes").to_pylist())])
+        order = np.argsort(tokens)
+        _, nodes, times = _shared(tokens[order], owners[order])
+        return pa.table({"node": pa.array(nodes, pa.int64()), "times": pa.array(times, pa.int64())})
 
-
-def _meet(table: pa.Table) -> pa.Table:
-    """Nodes that share a token of this bucket with another task's node."""
-    join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
-    k, v, at, many = _groups(join("tokens", np.uint64), join("owners", np.int64))
-    return pa.table({"node": pa.array(np.unique(v[np.repeat(many, np.diff(np.append(at, len(k))))]), pa.int64())})
+    return run
 
 
 # -- bands and signatures ---------------------------------------------------------
@@ -336,13 +357,16 @@ def links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id; one row per input row."""
     base = C.narrow(docs, "doc_id", "text").withColumn("row_key", F.xxhash64("text")).select("doc_id", "row_key", "text")
+    rows = C.stored(base.mapInArrow(_identify(width), "doc_id long, row_key long, n_shingles long, node long"))
     buckets = max(8, 2 * base.rdd.getNumPartitions())
-    scan = C.stored(base.mapInArrow(_scan(width, percent, buckets), _SCAN))
-    rows = scan.filter(F.col("node").isNotNull()).select("doc_id", "row_key", "n_shingles", "node")
-    met = scan.filter(F.col("bucket").isNotNull()).select("bucket", "tokens", "owners").groupBy("bucket").applyInArrow(_meet, "node long")
-    flagged = met.unionByName(scan.filter(F.col("shared").isNotNull()).select(F.explode("shared").alias("node"))).distinct()
+    packed = base.select("text").mapInArrow(_prefixes(width, percent, buckets), _PACKED)
+    met = packed.groupBy("bucket").applyInArrow(_meet(width), "node long, times long").groupBy("node").agg(F.sum("times").alias("times"))
     known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    first = known.join(flagged, "node").groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("f")).select("node", "f.*")
+    n = F.col("n_shingles")
+    slack = lambda n: n - F.ceil(n * percent / 100)
+    enough = F.col("times") >= F.floor(slack(F.ceil(n * percent / 100)) / 2) + 1
+    first = known.join(met, "node").filter(enough).groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("f")).select("node", "f.*")
+    first = C.if_small(C.stored(first))
     sets = C.stored(base.join(first, ["doc_id", "row_key"]).select("node", "text").mapInArrow(_sets(width), "node long, n long, tokens binary, sketch binary"))
     most = sets.agg(F.max("n")).first()[0] or 1
     found = C.stored(links(sets, candidate_pairs(sets, percent, most), percent))
