@@ -39,6 +39,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Packed tokens a task holds before it sends them on.
 FLUSH = 1 << 20
+#: Segments whose signatures travel with every posting.
+LANES = 4
 #: Bytes of sets that one verification block holds, about.
 BLOCK = 4 << 20
 
@@ -262,42 +264,51 @@ def _index(percent: int, most: int):
         bands = Bands(percent, most)
         plans = {}
         for b in batches:
-            cols = [[] for _ in range(7)]
+            cols = [[], [], []]
             for node, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 s = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
                 own = bands.of(n)
                 for band in {own, max(0, own - 1)}:
                     mode, m, spare = plans.setdefault(band, bands.plan(band))
                     sig, seg, skip = signatures(s, band, mode, m, spare)
-                    for c, v in zip(cols, (sig, np.full(len(sig), node), np.full(len(sig), n), np.full(len(sig), band), np.full(len(sig), band == own), seg if mode == "exact" else np.full(len(sig), 99), np.full(len(sig), skip))):
+                    if mode == "exact":  # lanes have 32 bits, under which they are also indexed
+                        lane = seg < LANES
+                        sig[lane] = C.mix((seg[lane] + band * LANES).astype(np.uint64)) & C.U(0xFFFFFFFF00000000) | sig[lane] >> C.U(32)
+                    else:
+                        seg = np.full(len(seg), 0xFFFF)
+                    for c, v in zip(cols, (sig, np.full(len(sig), node), n << 32 | np.minimum(seg, 0xFFFF) << 16 | band << 6 | skip << 1 | int(band == own))):
                         c.append(v)
             if cols[0]:
-                kinds = (np.int64, np.int64, np.int32, np.int16, bool, np.int32, np.int32)
-                c = [np.concatenate(x) for x in cols]
-                c[0] = c[0].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(c, kinds)], names=["sig", "node", "n", "band", "own", "seg", "skip"])
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(np.concatenate(cols[0]))), pa.array(np.concatenate(cols[1])), pa.array(np.concatenate(cols[2]))], names=["sig", "node", "meta"])
 
     return run
 
 
-_INDEX = "sig long, node long, n int, band short, own boolean, seg int, skip int"
+#: meta: size << 32 | segment << 16 | band << 6 | skip << 1 | own band
+_INDEX = "sig long, node long, meta long"
+_size = lambda m: F.shiftright(m, 32)
+_segment = lambda m: F.shiftright(m, 16).bitwiseAND(0xFFFF)
 
 
 def candidate_pairs(sets: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs (a < b) of nodes that may be linked, each once."""
     index = C.stored(sets.select("node", "n", "tokens").mapInArrow(_index(percent, most), _INDEX))
-    often = index.groupBy("sig").agg(F.count(F.lit(1)).alias("uses"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("sig", "uses")
-    mine = W.Window.partitionBy("node", "band")
-    index = index.join(often, "sig").withColumn("hot", F.row_number().over(mine.orderBy(F.desc("uses"), "sig"))).filter("hot > skip")
-    for j in range(4):
-        index = index.withColumn(f"l{j}", F.max(F.when(F.col("seg") == j, F.col("sig"))).over(mine))
-    index = C.stored(index.select("sig", "node", "n", "own", "seg", "l0", "l1", "l2", "l3"))
+    often = index.groupBy("sig").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1")
+    mine = W.Window.partitionBy("node", F.shiftright("meta", 6).bitwiseAND(0x3FF))
+    index = index.join(often, "sig").withColumn("hot", F.row_number().over(mine.orderBy(F.desc("uses"), "sig")))
+    index = index.filter(F.col("hot") > F.shiftright("meta", 1).bitwiseAND(0x1F))
+    low = F.col("sig").bitwiseAND(0xFFFFFFFF)
+    lane = lambda j: F.coalesce(F.max(F.when(_segment(F.col("meta")) == j, low)).over(mine), F.lit(0).cast("long"))
+    index = C.stored(index.select("sig", "node", "meta", F.shiftleft(lane(0), 32).bitwiseOR(lane(1)).alias("l0"), F.shiftleft(lane(2), 32).bitwiseOR(lane(3)).alias("l1")))
     left, right = index.alias("p"), index.alias("q")
     met = F.lit(False)
-    for j in range(4):
-        met = met | ((F.col("p.seg") > j) & F.coalesce(F.col(f"p.l{j}") == F.col(f"q.l{j}"), F.lit(False)))
-    near = (F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent)
-    pairs = left.join(right, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.own") | F.col("q.own")) & near & ~met)
+    for j in range(LANES):
+        x, y = (F.shiftrightunsigned(F.col(f"{t}.l{j // 2}"), 32 * (1 - j % 2)).bitwiseAND(0xFFFFFFFF) for t in "pq")
+        met = met | ((_segment(F.col("p.meta")) > j) & (x == y) & (x != 0))
+    n, m = _size(F.col("p.meta")), _size(F.col("q.meta"))
+    near = (n * 100 >= m * percent) & (m * 100 >= n * percent)
+    own = F.col("p.meta").bitwiseOR(F.col("q.meta")).bitwiseAND(1) == 1
+    pairs = left.join(right, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.node") < F.col("q.node")) & own & near & ~met)
     return pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
 
 
