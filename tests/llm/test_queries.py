@@ -1,0 +1,43 @@
+"""Registered queries that have SQL, against DuckDB over whole tables; the pipeline stage by stage."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from lorescope.llm.queries import ORACLE_SQL, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+def rows(found):
+    return sorted(map(repr, found))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for p in Path(DATA).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = QUERIES[name](spark, DATA)
+    cols = sorted(df.columns)
+    want = con.sql(ORACLE_SQL[name])
+    assert sorted(want.columns) == cols
+    assert rows(tuple(r) for r in df.select(*cols).collect()) == rows(want.select(*[f'"{c}"' for c in cols]).fetchall())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as P
+
+    from lorescope.llm import common
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, seen = docs.columns, docs.count()
+    for k, (_, stage) in enumerate(P.STAGES):
+        docs = common.stored(stage(spark, docs, DATA))
+        assert 0 < docs.count() <= seen
+        seen = docs.count()
+        if k < len(P.STAGES) - 1:
+            assert docs.columns == columns
+    assert docs.filter("n_tokens = 0").count() == 0
+    assert sorted(map(tuple, P.run(spark, DATA).select("doc_id", "ids_sha256").collect())) == sorted(map(tuple, docs.select("doc_id", "ids_sha256").collect()))
