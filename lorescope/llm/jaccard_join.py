@@ -8,8 +8,8 @@ and with each token left out).  Each band takes the mode of least estimated cost
 In exact mode the E spare segments pay for skipping: empty segments and each set's most
 frequent signatures, in one global order, so that any two linked sets keep a common one.
 
-Around it: sets equal as wholes are one node; a prefix test (of the smallest 30 % of
-its tokens a linked set shares at least a third) leaves out sets that share too few
+Around it: sets equal as wholes are one node; a prefix test (of the smallest 40 % of
+its tokens a linked set shares about half) leaves out sets that share too few
 with all others together, with tokens exchanged in packed form after a local merge;
 a pair is emitted only where no earlier lane has met it; odd sketches bound the
 difference from below; what is left is verified on the sets, block by block.
@@ -79,12 +79,7 @@ def _slack(n: int, percent: int) -> int:
 
 def prefix_length(n: int, percent: int) -> int:
     """Tokens of a set of n, from the smallest, that are exchanged."""
-    return _slack(n, percent) * 3 // 2 + 1
-
-
-def prefix_common(n: int, percent: int) -> int:
-    """How many of these a linked set must have among its own: prefixes of slack + l tokens share l, for the l of the smaller set."""
-    return _slack(-(-percent * n // 100), percent) // 2 + 1
+    return 2 * _slack(n, percent) + 1
 
 
 def _identify(width: int):
@@ -292,7 +287,7 @@ _segment = lambda m: F.shiftright(m, 16).bitwiseAND(0xFFFF)
 
 def candidate_pairs(sets: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs (a < b) of nodes that may be linked, each once."""
-    index = C.stored(sets.select("node", "n", "tokens").mapInArrow(_index(percent, most), _INDEX))
+    index = index_all = C.stored(sets.select("node", "n", "tokens").mapInArrow(_index(percent, most), _INDEX))
     often = index.groupBy("sig").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1")
     mine = W.Window.partitionBy("node", F.shiftright("meta", 6).bitwiseAND(0x3FF))
     index = index.join(often, "sig").withColumn("hot", F.row_number().over(mine.orderBy(F.desc("uses"), "sig")))
@@ -300,6 +295,7 @@ def candidate_pairs(sets: DataFrame, percent: int, most: int) -> DataFrame:
     low = F.col("sig").bitwiseAND(0xFFFFFFFF)
     lane = lambda j: F.coalesce(F.max(F.when(_segment(F.col("meta")) == j, low)).over(mine), F.lit(0).cast("long"))
     index = C.stored(index.select("sig", "node", "meta", F.shiftleft(lane(0), 32).bitwiseOR(lane(1)).alias("l0"), F.shiftleft(lane(2), 32).bitwiseOR(lane(3)).alias("l1")))
+    C.drop(index_all)
     left, right = index.alias("p"), index.alias("q")
     met = F.lit(False)
     for j in range(LANES):
@@ -375,7 +371,8 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     n = F.col("n_shingles")
     slack = lambda n: n - F.ceil(n * percent / 100)
-    enough = F.col("times") >= F.floor(slack(F.ceil(n * percent / 100)) / 2) + 1
+    # prefixes of slack + l tokens share l, for the l of the smaller set, which has `percent` of n at least
+    enough = F.col("times") > slack(F.ceil(n * percent / 100))
     first = known.join(met, "node").filter(enough).groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("f")).select("node", "f.*")
     first = C.if_small(C.stored(first))
     sets = C.stored(base.join(first, ["doc_id", "row_key"]).select("node", "text").mapInArrow(_sets(width), "node long, n long, tokens binary, sketch binary"))
