@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once; bounds a worker's memory.
 BLOCK_BYTES = 1 << 20
@@ -205,10 +205,11 @@ def narrow(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n] for n in names])
 
 
-#: Most rows of a table of a few numbers each that is broadcast.
-SMALL_ROWS = 200_000
+#: Most numbers in a table that is broadcast.
+SMALL_VALUES = 1_000_000
 
 
-def if_small(table: DataFrame) -> DataFrame:
-    """table, to be broadcast if it has SMALL_ROWS rows at most; beyond that joins shuffle."""
-    return broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table
+def if_small(table: DataFrame, *lists: str) -> DataFrame:
+    """table, to be broadcast if its rows and the numbers in its list columns are SMALL_VALUES at most, all in all; beyond that joins shuffle."""
+    weight = sum((F.coalesce(F.size(c), F.lit(0)) for c in lists), F.lit(len(table.columns)))
+    return F.broadcast(table) if (table.agg(F.sum(weight)).first()[0] or 0) <= SMALL_VALUES else table

@@ -104,7 +104,7 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN
     base = docs.select(docs["doc_id"], docs["text"], *[docs[c] for c in keep]).withColumn("row_key", F.xxhash64("text"))
     found = repeated_windows(base.select("doc_id", "row_key", "text"), min_lines, min_chars)
     starts = found.groupBy("doc_id", "row_key").agg(F.collect_list("line").alias("starts"))
-    starts = C.if_small(C.stored(starts)) if not keep else C.stored(starts)
+    starts = C.if_small(C.stored(starts), "starts")
     plan = base.join(starts, ["doc_id", "row_key"], "left").select("doc_id", "text", "starts", *keep)
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in plan.schema.fields[3:])
     return plan.mapInArrow(_rewrite(min_lines), f"doc_id long, text string, n_lines long, n_removed long{extra}")
