@@ -23,11 +23,11 @@ _ARGS = r"\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)"
 CALL = re.compile(rf"(?<![\w$.#])(?P<target>{_ID}(?:\.{_ID})*)[.:#/](?P<method>{_ID})\s?(?P<args>{_ARGS})(?P<chain>(?:\s*\.\s*{_ID}\s?{_ARGS})*)")
 BARE_CALL = re.compile(rf"(?<![\w$.#:/])(?P<method>{_ID})\s?(?P<args>{_ARGS})(?P<chain>(?:\s*\.\s*{_ID}\s?{_ARGS})*)")
 LINK = re.compile(rf"\.\s*({_ID}\s?{_ARGS})")
-QUALIFIED = re.compile(rf"(?<![\w$.@])(?P<owner>{_ID}(?:\.{_ID})*)\.(?P<field>[a-z][\w$]*|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*)(?![\w$.(])")
+QUALIFIED = re.compile(rf"(?<![\w$.@])(?P<owner>{_ID}(?:\.{_ID})*)\.(?P<field>[a-z][\w$]*|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*)(?![\w$(]|\.\w)")
 CONSTANT = re.compile(r"(?<![\w$.])[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+(?![\w$(])")
 DOTTED = re.compile(rf"(?<![\w$.@]){_ID}(?:\.{_ID})+(?![\w$(])")
-CAMEL = re.compile(r"(?<![\w$.@])(?:[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+|[a-z]+[a-z0-9]*(?:[A-Z][a-z0-9]+)+|[A-Z]{2,}[a-z][a-z0-9]+\w*|[A-Z][a-z]+[A-Z]{2,}\w*)(?![\w$.(])")
-CAPITAL = re.compile(r"(?<![\w$.@])[A-Z][a-z][\w$]*(?![\w$.(])")
+CAMEL = re.compile(r"(?<![\w$.@])(?:[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+|[a-z]+[a-z0-9]*(?:[A-Z][a-z0-9]+)+|[A-Z]{2,}[a-z][a-z0-9]+\w*|[A-Z][a-z]+[A-Z]{2,}\w*)(?![\w$(]|\.\w)")
+CAPITAL = re.compile(r"(?<![\w$.@])[A-Z][a-z][\w$]*(?![\w$(]|\.\w)")
 ANNOTATION = re.compile(rf"(?<![\w.])@(?:{_ID}\.)*{_ID}")
 MAIL_OR_URL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b(?:https?|ftp|file)://[^\s<>\"')]+|\bwww\.[\w-]+(?:\.[\w-]+)+[^\s<>\"')]*")
 TAG = re.compile(r"<(?!/?(?:https?:|mailto:|www\.))/?(?P<name>[A-Za-z][\w:.-]*)(?P<attrs>(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*/?>")
@@ -109,17 +109,21 @@ STRATEGIES = {
 def accept(matches: list[tuple]) -> list[tuple]:
     """EXT-3: a match goes if another of its span has a higher priority, or was taken, or if a taken or later one of another span contains it; partial overlaps both stay."""
     matches = sorted(matches, key=lambda m: (m[0], -m[3], -m[1], m[2]))
-    gone, out = set(), []
+    gone, out, open_ = set(), [], []
     for i, m in enumerate(matches):
-        for j, o in enumerate(matches):
-            if i == j or j in gone:
-                continue
+        open_ = [j for j in open_ if matches[j][1] > m[0]]
+        later = i + 1
+        while later < len(matches) and matches[later][0] == m[0]:
+            later += 1
+        for j in [*open_, *range(i + 1, later)]:
+            o = matches[j]
             same = (o[0], o[1]) == (m[0], m[1])
-            if (same and (m[3] < o[3] or (m[3] == o[3] and j < i))) or (not same and o[0] <= m[0] and m[1] <= o[1]):
+            if j not in gone and ((same and (m[3] < o[3] or (m[3] == o[3] and j < i))) or (not same and o[0] <= m[0] and m[1] <= o[1])):
                 gone.add(i)
                 break
         else:
             out.append(m)
+        open_.append(i)
     return out
 
 
@@ -180,9 +184,21 @@ def references_beyond(text: pd.Series, known: pd.Series) -> pd.Series:
 
 
 def explode_references(df: DataFrame, text: str, hint: Column | None = None, strict: Column | None = None, step: int = 0) -> DataFrame:
-    """CH-6, HTM-21: one row for each reference of a text, its index moved by `step`."""
-    found = references(F.col(text), F.lit("unknown") if hint is None else hint, F.lit(True) if strict is None else strict)
-    return df.withColumn("_r", F.explode(found)).select(*df.columns, "_r.*").withColumn("index", F.col("index") + step)
+    """CH-6, HTM-21: one row for each reference of a text, its index moved by `step`, beside the text's other columns."""
+    names, others = ["content", "kind", "parent", "child_index", "begin", "finish", "index"], df.columns
+    given = df.withColumn("_hint", F.lit("unknown") if hint is None else hint).withColumn("_strict", F.lit(True) if strict is None else strict)
+    schema = T.StructType([*df.schema.fields, *REFERENCES.elementType.fields])
+
+    def run(batches):
+        for b in batches:
+            found = [find_references(t, h or "unknown", bool(s)) for t, h, s in zip(b[text], b["_hint"], b["_strict"])]
+            rows = [(i, *r[:6], r[6] + step) for i, refs in enumerate(found) for r in refs]
+            kept = b[others].iloc[[r[0] for r in rows]].reset_index(drop=True)
+            out = pd.DataFrame([r[1:] for r in rows], columns=names)
+            out["parent"] = out["parent"].astype("Int32")
+            yield pd.concat([kept, out], axis=1)
+
+    return given.mapInPandas(run, schema)
 
 
 # -- paragraphs (SEG-2) ----------------------------------------------------------------
@@ -212,7 +228,12 @@ def _open(lines: list[str]) -> bool:
     return not unit or text.count("{") > text.count("}")
 
 
-@F.pandas_udf(PARTS)
-def message_parts(paragraphs: pd.Series, languages: pd.Series) -> pd.Series:
-    """SEG-2 over columns: arrays of paragraphs (arrays of lines) and of their languages (CLS-9)."""
-    return pd.Series([None if p is None else merge_paragraphs(p, l) for p, l in zip(paragraphs, languages)])
+def explode_parts(df: DataFrame, key: str, paragraphs: str, languages: str) -> DataFrame:
+    """SEG-2 over columns: arrays of paragraphs (arrays of lines) and of their languages (CLS-9); key, position, language, lines."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, i, lang, lines) for k, p, l in zip(b[key], b[paragraphs], b[languages]) if p is not None for i, (lang, lines) in enumerate(merge_paragraphs(p, l))]
+            yield pd.DataFrame(rows, columns=[key, "position", "language", "lines"])
+
+    return df.select(key, paragraphs, languages).mapInPandas(run, T.StructType([df.schema[key], T.StructField("position", T.IntegerType()), *PARTS.elementType.fields]))

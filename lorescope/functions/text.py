@@ -24,6 +24,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """Without white space at either end (Spark's trim takes blanks only)."""
+    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+
+
 def bigrams(c) -> Column:
     """Distinct upper-cased pairs of neighbouring characters."""
     u = F.upper(_col(c))
@@ -67,12 +72,12 @@ def _around(text: Column, begin: Column, finish: Column, stops: str) -> Column:
 
 def sentence_at(text, begin, finish) -> Column:
     """STR-4: the sentence that holds text[begin:finish], its closing mark included."""
-    return F.trim(_around(_col(text), _col(begin), _col(finish), r".!?\n\r"))
+    return strip(_around(_col(text), _col(begin), _col(finish), r".!?\n\r"))
 
 
 def paragraph_at(text, begin, finish) -> Column:
     """STR-5: the same between line ends."""
-    return F.trim(_around(_col(text), _col(begin), _col(finish), r"\n\r"))
+    return strip(_around(_col(text), _col(begin), _col(finish), r"\n\r"))
 
 
 def clean_breaks(c, collapse: bool = False) -> Column:
@@ -105,7 +110,7 @@ def month_number(c) -> Column:
 
 def join_lines(lines, separator: str = "\n") -> Column:
     """STR-10: stripped lines, joined."""
-    return F.array_join(F.transform(_col(lines), lambda x: F.trim(x)), separator)
+    return F.array_join(F.transform(_col(lines), strip), separator)
 
 
 def merge_lines(lines) -> Column:
@@ -115,7 +120,7 @@ def merge_lines(lines) -> Column:
 
 def safe_strip(c) -> Column:
     """STR-11."""
-    return F.trim(_col(c))
+    return strip(c)
 
 
 def word_count(c) -> Column:

@@ -2,7 +2,7 @@
 
 A reference row carries its candidates as one array (`potentials`), its `trace` of
 filters and `context_done`.  Candidates come from an equi-join on the name; each filter
-is an expression over the array, so a whole chain is one projection without a shuffle.
+is an expression over the array, so a chain is a row of projections without a shuffle.
 
 elements: id, kind, simple_name, fqn, human_string, package, container_fqn,
 container_simple, container_hierarchy (array of fqns), n_descendants, param_types (array).
@@ -25,6 +25,15 @@ OBJECT_METHODS = {0: ["clone", "finalize", "getClass", "hashCode", "notify", "no
 _empty = lambda c: F.filter(c, lambda x: F.lit(False))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df behind a barrier to the optimizer, which would otherwise merge a chain's projections and double the expression with each filter; batches pass as they are, without a shuffle."""
+    return df.mapInArrow(_same, df.schema)
+
+
+def _same(batches):
+    yield from batches
+
+
 def candidates(refs: DataFrame, elements: DataFrame, kinds: list[str], ignore_case: Column | None = None) -> DataFrame:
     """LNK-1: refs with the elements of these kinds and that name in (fqn, human string, id) order; names are compared exactly, or without case where `ignore_case` holds.
 
@@ -50,10 +59,9 @@ def apply_filter(df: DataFrame, name: str, kept: Column, activated: Column | Non
     active = F.size("_kept") < F.size("potentials") if activated is None else activated
     df = df.withColumn("_active", ~skip & F.coalesce(active, F.lit(False)))
     step = F.struct(F.lit(name).alias("name"), F.col("_active").alias("activated"), F.size("_kept").alias("size"))
-    df = df.withColumn("trace", F.concat("trace", F.array(step))).withColumn("potentials", F.col("_kept"))
-    if context:
-        df = df.withColumn("context_done", F.col("context_done") | F.col("_active"))
-    return df.drop("_kept", "_active")
+    done = F.col("context_done") | F.col("_active") if context else F.col("context_done")
+    rest = [c for c in df.columns if c not in ("potentials", "trace", "context_done", "_kept", "_active")]
+    return settled(df.select(*rest, F.col("_kept").alias("potentials"), F.concat("trace", F.array(step)).alias("trace"), done.alias("context_done")))
 
 
 def placeholder(c: str = "fqn") -> Column:

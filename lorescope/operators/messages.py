@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import language
-from ..functions.extract import explode_references, message_parts
+from ..functions.extract import explode_parts, explode_references
 from ..functions.text import paragraphs
 from .channel import content_lines
 
@@ -17,8 +17,7 @@ def parts(messages: DataFrame, body: str = "body", key: str = "message_id") -> D
     text = F.array_join(content_lines(body), "\n")
     split = F.transform(paragraphs(text), lambda p: F.split(p, "\n"))
     df = messages.select(key, split.alias("p")).filter(F.aggregate("p", F.lit(0), lambda n, x: n + F.size(x)) <= 500)
-    df = df.withColumn("l", F.transform("p", lambda x: language(x))).withColumn("m", message_parts(F.col("p"), F.col("l")))
-    return df.select(key, F.posexplode("m").alias("position", "x")).select(key, "position", "x.language", "x.lines")
+    return explode_parts(df.withColumn("l", F.transform("p", lambda x: language(x))), key, "p", "l")
 
 
 def message_references(found: DataFrame, key: str = "message_id") -> DataFrame:

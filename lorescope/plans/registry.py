@@ -461,3 +461,35 @@ def page_sections(spark, d):
 def remove_page(spark, d):
     """HTM-26"""
     return D.table(spark, d, "pages").filter(~F.col("url").rlike(r"blog\.")).select("page_id")
+
+
+# -- extraction: greedy over spans, hence not SQL ---------------------------------------------
+
+
+@query(None)
+def text_references(spark, d):
+    """EXT-1..12, CH-6: code-like terms of every turn"""
+    from ..functions.extract import explode_references
+
+    c = D.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return explode_references(c, "text").select("conv_id", "turn", "content", "kind", "parent", "child_index", "index")
+
+
+@query(None)
+def message_parts(spark, d):
+    """SEG-1, SEG-2, CLS-1..10, CH-3..5: parts of every document by language"""
+    from ..operators import messages
+
+    p = messages.parts(D.table(spark, d, "documents"), "text", "doc_id")
+    return p.select("doc_id", "position", "language", F.size("lines").alias("n_lines"))
+
+
+@query(None)
+def page_code_spans(spark, d):
+    """HTM-15, HTM-18, HTM-19: links of every page that may name code, under the section with the longest path"""
+    from ..sources import html
+
+    pages = D.table(spark, d, "pages")
+    spans = html.code_spans(pages, "page_id", "html", html.ParserConfig(references=("//a[@href]",)))
+    found = html.sections(pages, "page_id", "html", html.ParserConfig(sections=("//article | //nav",)))
+    return html.section_of(spans, found, "page_id").select("page_id", "ref", "content", "kind_hint", "section")
