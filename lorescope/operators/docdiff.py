@@ -38,12 +38,21 @@ def _at_least(ratio: Column) -> Column:
 
 
 def children_score(old: DataFrame, new: DataFrame) -> DataFrame:
-    """DOC-5.  old, new: parent, title of children.  (old_id, new_id, score): the sum, over old children, of the best ratio with a new child of at least .85, by the number of old children."""
-    n = old.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
-    a = old.select(F.col("parent").alias("old_id"), F.monotonically_increasing_id().alias("child"), F.col("title").alias("x"))
-    b = new.select(F.col("parent").alias("new_id"), F.col("title").alias("y"))
-    best = a.join(b).withColumn("r", _at_least(similar_ratio("x", "y"))).groupBy("old_id", "child", "new_id").agg(F.max("r").alias("r"))
-    return best.groupBy("old_id", "new_id").agg(F.sum("r").alias("s")).join(n.withColumnRenamed("parent", "old_id"), "old_id").select("old_id", "new_id", (F.col("s") / F.col("n")).alias("score"))
+    """DOC-5.  old, new: document, parent, id, title of children.  (document, old_id, new_id, score) of parents: the sum, over old children, of the best ratio with a new child of at least .85, by the number of old children.
+
+    Children meet those of the same document only.
+    """
+    n = old.groupBy("document", F.col("parent").alias("old_id")).agg(F.count(F.lit(1)).alias("n"))
+    a = old.select("document", F.col("parent").alias("old_id"), F.col("id").alias("child"), F.col("title").alias("x"))
+    b = new.select("document", F.col("parent").alias("new_id"), F.col("title").alias("y"))
+    best = a.join(b, "document").withColumn("r", _at_least(similar_ratio("x", "y"))).groupBy("document", "old_id", "child", "new_id").agg(F.max("r").alias("r"))
+    return best.groupBy("document", "old_id", "new_id").agg(F.sum("r").alias("s")).join(n, ["document", "old_id"]).select("document", "old_id", "new_id", (F.col("s") / F.col("n")).alias("score"))
+
+
+def add_children_score(scores: DataFrame, children: DataFrame) -> DataFrame:
+    """Scores of pairs with three times that of their children."""
+    extra = children.select("document", "old_id", "new_id", F.col("score").alias("_c"))
+    return scores.join(extra, ["document", "old_id", "new_id"], "left").withColumn("score", F.col("score") + 3 * F.coalesce("_c", F.lit(0.0))).drop("_c")
 
 
 def score_sections(old: DataFrame, new: DataFrame) -> DataFrame:

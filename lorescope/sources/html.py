@@ -412,3 +412,53 @@ def without_pages(pages: DataFrame, pattern: str, url: str = "url") -> DataFrame
 
 def relative_links(links: DataFrame) -> DataFrame:
     return links.filter(is_relative("href"))
+
+
+def sentence_of(node: Node, text: str) -> str:
+    """HTM-8: the sentence of the parent's text that holds the k-th occurrence of a node's text, k being the number of earlier siblings that have it too."""
+    up = node.parent or node
+    whole = up.text()
+    k = 0
+    for c in up.children:
+        if c is node:
+            break
+        k += (c if isinstance(c, str) else c.text()).count(text)
+    at = -1
+    for _ in range(k + 1):
+        at = whole.find(text, at + 1)
+        if at < 0:
+            return whole.strip()
+    begin = max((m.end() for m in re.finditer(r"[.!?\n\r]", whole[:at]) if m.start() > 0), default=0)
+    stop = re.search(r"[.!?\n\r]", whole[at + len(text) :])
+    return whole[begin : at + len(text) + (stop.end() if stop else len(whole))].strip()
+
+
+def span_sentences(pages: DataFrame, key: str, html: str, config: ParserConfig) -> DataFrame:
+    """HTM-8: the sentences of elements that may name code."""
+
+    def rows(root):
+        for i, e in enumerate(n for x in config.references for n in select(root, x)):
+            text = e.text()
+            if text.strip():
+                yield i, " ".join(text.split()), sentence_of(e, text)
+
+    return _rows(pages, key, html, rows, "ref int, content string, sentence string")
+
+
+def javadoc_members(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """HTM-25: members of an API page: their fully qualified names (a member's anchor under the page's type), and the qualified names that `../` links in their text stand for."""
+
+    def rows(root):
+        kind = next(iter(select(root, "//h2")), None)
+        package = kind.parent if kind else None
+        title = kind.text().split()[-1].split("<")[0] if kind and kind.text().split() else ""
+        head = next((e.text().strip() for e in (package.walk() if package else ()) if e.tag == "font" or "subTitle" in e.attrs.get("class", "")), "")
+        for i, a in enumerate(select(root, "//a[@name]")):
+            name = a.attrs["name"]
+            if "." in name or "_" in name:
+                continue
+            block = a.parent or a
+            targets = [re.sub(r"\.html.*$", "", re.sub(r"^(?:\.\./)+", "", x.attrs["href"])).replace("/", ".") for x in block.walk() if x.tag == "a" and x.attrs.get("href", "").startswith("../")]
+            yield i, ".".join(p for p in (head, title, name) if p), " ".join(targets)
+
+    return _rows(pages, key, html, rows, "position int, fqn string, targets string")

@@ -211,6 +211,20 @@ def test_pages(spark):
     assert html.own_text(html.select(html.parse("<div>a<h1>b</h1>c</div>"), "//div")[0], "//h1") == "a\nc"
 
 
+def test_sentences_and_members(spark):
+    page = "<div><h2>Class Foo</h2><font>a.b</font><div><a name='go(int)'>x</a> see <a href='../c/Bar.html#z'>Bar</a></div><p>Use <code>go</code> first. Then <code>go</code> again! End</p></div>"
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    assert names(html.span_sentences(df, "page_id", "html", html.ParserConfig()), "ref", "sentence") == [(0, "Use go first."), (1, "Then go again!")]
+    assert names(html.javadoc_members(df, "page_id", "html"), "fqn", "targets") == [("a.b.Foo.go(int)", "c.Bar")]
+
+
+def test_children_score(spark):
+    s = "document string, parent long, id long, title string"
+    old = spark.createDataFrame([("d", 1, 2, "Alpha"), ("d", 1, 3, "Beta")], s)
+    new = spark.createDataFrame([("d", 9, 8, "Alpha"), ("d", 7, 6, "Other"), ("e", 9, 8, "Beta")], s)
+    assert names(docdiff.children_score(old, new), "old_id", "new_id", "score") == [(1, 7, 0.0), (1, 9, 0.5)]
+
+
 def test_crawl(spark):
     seeds = spark.createDataFrame([("http://x/a",)], "url string")
     links = spark.createDataFrame([("http://x/a", "http://x/b#1"), ("http://x/b", "http://x/a"), ("http://x/b", "http://y/c"), ("http://x/b", "http://x/c.zip"), ("http://x/b", "http://x/d")], "url string, target string")
