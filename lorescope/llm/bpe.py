@@ -27,6 +27,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,12 +224,27 @@ class Coder:
 
 
 def _coder(path: str) -> Coder:
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+    """The task's coder; it goes when the task ends, with the words it remembers."""
+    task = TaskContext.get()
+    key = path, task.taskAttemptId() if task else 0
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = Coder(path)
+    return _coders[key]
+
+
+def _forgetting(run):
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _coders.clear()
+
+    return C.tidy(wrapped)
 
 
 def _encode(path: str):
+    @_forgetting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for b in batches:
@@ -242,6 +258,7 @@ def _encode(path: str):
 
 
 def _decode(path: str):
+    @_forgetting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for b in batches:
@@ -268,6 +285,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def _round_trip(path: str, keep_ids: bool):
+    @_forgetting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for e in _encode(path)(batches):

@@ -131,6 +131,7 @@ def _unit(q: int) -> list[int]:
     return [0 if i == q else INF for i in range(4)]
 
 
+@C.tidy
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Settle conversations that neither open nor close the partition; hand on the others' turns, and a matrix for each."""
     part = TaskContext.get().partitionId()

@@ -9,6 +9,9 @@ hash; two different windows share one with chance 2**-64.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -152,6 +155,24 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def tidy(run):
+    """A batch function whose worker gives its memory back when the task ends; workers live on, and hold what their largest task took."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another libc
+                pass
+
+    return tidied
+
+
 # -- the shared folder ---------------------------------------------------------
 
 

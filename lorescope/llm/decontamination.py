@@ -146,6 +146,7 @@ def closest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 def _leaks(sent):
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = sent.value
         for b in batches:
@@ -231,6 +232,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_ED
 def _without(sent, text_at: int):
     find = _leaks(sent)
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row = pa.array(range(b.num_rows), pa.int64())

@@ -89,6 +89,7 @@ def decode(s: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(s), dtype=">u2").astype(np.uint16)
 
 
+@C.tidy
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode(fingerprint(t or "")) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "fingerprint"])
@@ -122,6 +123,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 _ARROW_LINK = pa.schema([*_ARROW, ("part", pa.int32()), ("kind", pa.string()), ("text", pa.string())])
 
 
+@C.tidy
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with the next one; a partition's first and last row are handed on, to be joined across partitions."""
     part = TaskContext.get().partitionId()
@@ -143,6 +145,7 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([(last[0], None, *blank, part, "tail", last[1])], _ARROW_LINK)
 
 
+@C.tidy
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [_row(i, t, fingerprint(t), n, fingerprint(n)) for i, t, n in zip(*(b.column(c).to_pylist() for c in range(3)))]

@@ -78,6 +78,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _count(targets):
     """Labelled documents that hold each bucket, of all and of the target ones, packed by chunks of buckets."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, goal = np.zeros(2 << BITS, dtype=np.int64), np.zeros(2 << BITS, dtype=np.int64)
         known, good = targets.value
@@ -140,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, devian
 
 
 def _score(weights, text_at: int):
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for b in batches:

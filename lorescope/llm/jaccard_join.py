@@ -85,6 +85,7 @@ def prefix_length(n: int, percent: int) -> int:
 def _identify(width: int):
     """Size and identity of each text's set."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in C.text_blocks(b.column(2)):
@@ -97,6 +98,7 @@ def _identify(width: int):
 def _prefixes(width: int, percent: int, buckets: int):
     """Packed prefix tokens of each set that the task sees for the first time, and how many of them the task's sets share."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys, nodes, held = [], [], 0
@@ -245,6 +247,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _sets(width: int):
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in C.text_blocks(b.column(1)):
@@ -255,6 +258,7 @@ def _sets(width: int):
 
 
 def _index(percent: int, most: int):
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent, most)
         plans = {}
@@ -311,6 +315,7 @@ def candidate_pairs(sets: DataFrame, percent: int, most: int) -> DataFrame:
 def _bound(percent: int):
     """Leaves out pairs whose sketches differ in more tokens than linked sets can."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, z, x, y = (b.column(i).to_pylist() for i in range(2, 6))

@@ -73,6 +73,7 @@ def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int
 
 
 def _rewrite(min_lines: int):
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n_lines, n_removed = [], [], []

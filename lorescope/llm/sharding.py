@@ -48,6 +48,7 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> tuple[np.
 def _deal(matrix, seed: int):
     """Deal a partition's rows out by its row of the matrix, in a random order, and give each a key for the second permutation."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = left = None
         for b in batches:

@@ -146,6 +146,7 @@ _SKETCH = "doc_id long, row_key long, n_words long, d1 long, d2 long, fp array<l
 
 
 def _sketch(window: int, gram: int):
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in C.text_blocks(b.column(2)):
@@ -167,6 +168,7 @@ def _sketch(window: int, gram: int):
 def _windows(window: int, gram: int):
     """Hashes of the windows that hold a fingerprint at one of the given positions."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             open_at = b.column(3)
@@ -207,6 +209,7 @@ def _cover(pos: np.ndarray, n: int, window: int, gram: int) -> np.ndarray:
 def _rewrite(window: int, gram: int):
     """Kept text and counts from a text's settled fingerprints and repeated window starts."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             copy, settled, repeated = b.column(2), b.column(3), b.column(4)
@@ -256,6 +259,7 @@ def kept_texts(w: C.Words, gone: np.ndarray) -> tuple[list[bytes], np.ndarray]:
 
 
 def _automata(window: int, shard: list[tuple[int, list[int]]]):
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = SuffixAutomaton()
         for doc_id, words in shard.value:

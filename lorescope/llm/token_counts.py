@@ -59,6 +59,7 @@ def _counter(path: str):
 
 
 def _encode(path: str):
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
         for b in batches:
