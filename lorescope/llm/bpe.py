@@ -21,6 +21,7 @@ import base64
 import hashlib
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -35,9 +36,9 @@ from . import common as C
 
 LONG = 256
 #: Words a task remembers.
-REMEMBER = 300_000
+REMEMBER = 150_000
 #: Bytes of text that are cut and encoded at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: np.ndarray | None = None
@@ -102,15 +103,15 @@ class Coder:
         import duckdb
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x)}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        rows = []
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        pair, rank = array("q"), array("i")
         for t, r in self.ranks.items():
             for i in range(1, len(t)):
                 a, b = self.ranks.get(t[:i]), self.ranks.get(t[i:])
                 if a is not None and b is not None:
-                    rows.append((a, b, r))
-        m = np.array(rows, dtype=np.int64)
-        merges = pa.table({"pair": m[:, 0] << 32 | m[:, 1], "rank": m[:, 2].astype(np.int32)})
+                    pair.append(a << 32 | b)
+                    rank.append(r)
+        merges = pa.table({"pair": np.array(pair), "rank": np.array(rank)})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges ORDER BY pair")
         vocabulary = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary ORDER BY id")
