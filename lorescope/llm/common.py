@@ -173,6 +173,17 @@ def tidy(run):
     return tidied
 
 
+#: Most rows of text that travel to Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows in an Arrow batch from here on in this session: with whole texts in them, a batch of Spark's 10,000 rows takes tens of MB in the JVM and again in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 # -- the shared folder ---------------------------------------------------------
 
 
