@@ -15,11 +15,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    common.small_batches(spark)
     return importance.select_documents(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go, and documents of which nothing else is left; the others keep their place."""
+    common.small_batches(spark)
     out = line_dedup.line_dedup(docs.select(*COLUMNS), keep=("lang", "source"))
     left = out.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
@@ -27,6 +29,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
+    common.small_batches(spark)
     groups = jaccard_join.jaccard_groups(docs)
     others = common.stored(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     return docs.select(*COLUMNS).join(common.if_small(others), "doc_id", "left_anti").select(*COLUMNS)
@@ -34,11 +37,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    common.small_batches(spark)
     return decontamination.clean_documents(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and proof that they decode to it."""
+    common.small_batches(spark)
     import public_tokenizers
 
     return bpe.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep_ids=True)
