@@ -11,7 +11,14 @@ others are later copies; windows that follow one another make up the maximal rep
 runs, whose lines are deleted.  The order is never needed beyond that prefix, so the
 doubling stops there and intervals are found by grouping, not by a global sort.
 
-A window counts if it has `min_chars` characters, blanks at line ends aside.
+A window counts if it has `min_chars` characters, blanks at line ends aside.  That is the
+rule of OP2_SQL, which puts the length to each window alone: a repeated run of short
+lines loses nothing.  With `whole_runs` the length is put to the whole run: a line goes if
+any later copy of at least `min_lines` lines and `min_chars` characters covers it.  For
+this it is enough to look at the shortest long enough run from each line on, and at the
+shortest that ends with each line: a long enough run is covered by those that lie in it,
+and where the same lines occur elsewhere they make the same shortest run.  So every line
+gives two hashes at most, and groups of equal hashes need no rounds.
 
 Every round joins and groups narrow rows (names and positions) whose keys are nearly
 unique or pre-aggregated; a line that a third of all documents hold is counted by
@@ -72,12 +79,57 @@ def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int
     return named.filter((F.col("chars") >= min_chars) & (F.col("first") < F.struct(*_POS)))
 
 
-def _rewrite(min_lines: int):
+def line_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, characters, first line of each text and the end) of the lines of a block of texts, without blanks around them."""
+    n = len(data)
+    breaks = np.flatnonzero(data == 10)
+    s, e = np.sort(np.concatenate([off[:-1], breaks + 1])), np.sort(np.concatenate([off[1:], breaks]))
+    for blank in ((data == 9) | (data == 13), data == 32):
+        after = np.append(np.where(blank, n, np.arange(n)), n)
+        after = np.minimum.accumulate(after[::-1])[::-1]
+        before = np.maximum.accumulate(np.concatenate([[0], np.where(blank, 0, np.arange(1, n + 1))]))
+        s = np.minimum(after[s], e)
+        e = np.maximum(before[e], s)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    bounds = np.concatenate([[0], np.cumsum(1 + np.searchsorted(breaks, off[1:]) - np.searchsorted(breaks, off[:-1]))])
+    return C.span_hashes(C._TABLE[data], s, e), chars[e] - chars[s], bounds
+
+
+def _shortest_runs(min_lines: int, min_chars: int):
+    """The shortest long enough runs of lines from each line on, and those that end with each line."""
+
+    @C.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, _, data, off in C.text_blocks(b.column(2)):
+                h, chars, bounds = line_spans(data, off)
+                total = np.concatenate([[0], np.cumsum(chars)])
+                at, doc = np.arange(len(h)), np.repeat(np.arange(len(off) - 1), np.diff(bounds))
+                until = np.maximum(np.searchsorted(total, total[:-1] + min_chars), at + min_lines)
+                since = np.minimum(np.searchsorted(total, total[1:] - min_chars, side="right") - 1, at + 1 - min_lines)
+                forth = until <= bounds[doc + 1]
+                back = since >= bounds[doc]
+                back[back] = until[since[back]] != at[back] + 1  # else it is there already
+                s, e = np.concatenate([at[forth], since[back]]), np.concatenate([until[forth], at[back] + 1])
+                row, first = pa.array(lo + doc[s]), bounds[doc[s]]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(s - first, pa.int32()), pa.array(e - first, pa.int32()), pa.array(C.signed(C.span_hashes(h, s, e)))], names=[*_POS, "until", "name"])
+
+    return run
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, row_key, line, until: runs of lines that occur before and together make up all such runs of min_lines lines and min_chars characters.  docs: doc_id, row_key, text."""
+    real = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    named = C.stored(real.mapInArrow(_shortest_runs(min_lines, min_chars), "doc_id long, row_key long, line int, until int, name long"))
+    return _shared(named).filter(F.col("first") < F.struct(*_POS))
+
+
+def _rewrite():
     @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n_lines, n_removed = [], [], []
-            for t, starts in zip(b.column(1).to_pylist(), b.column(2)):
+            for t, starts, ends in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
                 if t is None:
                     texts.append(None)
                     n_lines.append(0)
@@ -86,29 +138,29 @@ def _rewrite(min_lines: int):
                 lines, lost = t.split("\n"), 0
                 if starts.is_valid:
                     gone = np.zeros(len(lines) + 1, dtype=np.int64)
-                    s = np.unique(starts.values.to_numpy())
-                    gone[s] += 1
-                    gone[s + min_lines] -= 1
+                    np.add.at(gone, starts.values.to_numpy(), 1)
+                    np.add.at(gone, ends.values.to_numpy(), -1)
                     gone = np.cumsum(gone)[:-1] > 0
                     lost = int(gone.sum())
                     t = "\n".join(x for x, g in zip(lines, gone) if not g)
                 texts.append(t)
                 n_lines.append(len(lines))
                 n_removed.append(lost)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), *b.columns[3:]], names=["doc_id", "text", "n_lines", "n_removed", *b.schema.names[3:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), *b.columns[4:]], names=["doc_id", "text", "n_lines", "n_removed", *b.schema.names[4:]])
 
     return run
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = (), whole_runs: bool = False) -> DataFrame:
     """doc_id, text (kept lines), n_lines, n_removed and the columns named by `keep`; one row per input row."""
     base = docs.select(docs["doc_id"], docs["text"], *[docs[c] for c in keep]).withColumn("row_key", F.xxhash64("text"))
-    found = repeated_windows(base.select("doc_id", "row_key", "text"), min_lines, min_chars)
-    starts = found.groupBy("doc_id", "row_key").agg(F.collect_list("line").alias("starts"))
-    starts = C.if_small(C.stored(starts), "starts")
-    plan = base.join(starts, ["doc_id", "row_key"], "left").select("doc_id", "text", "starts", *keep)
-    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in plan.schema.fields[3:])
-    return plan.mapInArrow(_rewrite(min_lines), f"doc_id long, text string, n_lines long, n_removed long{extra}")
+    texts = base.select("doc_id", "row_key", "text")
+    found = repeated_runs(texts, min_lines, min_chars) if whole_runs else repeated_windows(texts, min_lines, min_chars).withColumn("until", F.col("line") + min_lines)
+    starts = found.groupBy("doc_id", "row_key").agg(F.collect_list("line").alias("starts"), F.collect_list("until").alias("ends"))
+    starts = C.if_small(C.stored(starts), "starts", "ends")
+    plan = base.join(starts, ["doc_id", "row_key"], "left").select("doc_id", "text", "starts", "ends", *keep)
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in plan.schema.fields[4:])
+    return plan.mapInArrow(_rewrite(), f"doc_id long, text string, n_lines long, n_removed long{extra}")
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -134,6 +134,40 @@ def test_line_dedup_repeated_rows_and_null_ids(spark):
     assert got == Counter({(1, 0): 2, (None, 0): 1, (2, 2): 1})
 
 
+def brute_runs(rows, min_lines, min_chars):
+    """Every later copy of every length, the length put to the whole of it."""
+    bare = lambda x: re.sub(r"^[\t\r]+|[\t\r]+$", "", x).strip(" ")
+    seen, gone = set(), defaultdict(set)
+    for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
+        lines = [bare(x) for x in t.split("\n")]
+        for k in range(len(lines)):
+            for z in range(k + min_lines, len(lines) + 1):
+                key = tuple(lines[k:z])
+                if key in seen and sum(map(len, key)) >= min_chars:
+                    gone[i] |= set(range(k, z))
+                seen.add(key)
+    return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), 0 if t is None else len(t.split("\n")), len(gone[i])) for i, t in rows]
+
+
+@pytest.mark.parametrize("min_lines,min_chars", [(1, 2), (1, 7), (2, 4), (2, 9), (3, 5), (4, 0), (5, 30)])
+def test_line_dedup_whole_runs(spark, min_lines, min_chars):
+    rng = random.Random(9)
+    rows = [(i, "\n".join(rng.choice(["a", "bb", "ccc ", "", "\tdd", "e f", "日本 é", " \tx\r"]) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, rows[3][1]), (63, rows[3][1]), (64, "ccc\n" * 40), (65, "zz\n" + rows[5][1] + "\nyy"), (66, rows[5][1] + "\nq")]
+    got = line_dedup.line_dedup(table(spark, rows), min_lines, min_chars, whole_runs=True).collect()
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got) == Counter(brute_runs(rows, min_lines, min_chars))
+
+
+def test_pipeline_line_dedup_whole_run_of_short_lines(spark):
+    import corpus_pipeline
+
+    run = "\n".join(f"item {k} of a list of lines" for k in range(50))
+    rows = [(1, f"one\n{run}\nx"), (2, f"two\n{run}\ny")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: "two\ny"}
+
+
 # -- chat -----------------------------------------------------------------------------
 
 
