@@ -20,9 +20,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go, and documents of which nothing else is left; the others keep their place."""
+    """Later copies of line runs go, of single lines too if they are long enough, and documents of which nothing else is left; the others keep their place."""
     common.small_batches(spark)
-    out = line_dedup.line_dedup(docs.select(*COLUMNS), keep=("lang", "source"), whole_runs=True)
+    out = line_dedup.line_dedup(docs.select(*COLUMNS), min_lines=1, keep=("lang", "source"), whole_runs=True)
     left = out.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 

@@ -168,6 +168,16 @@ def test_pipeline_line_dedup_whole_run_of_short_lines(spark):
     assert got == {1: rows[0][1], 2: "two\ny"}
 
 
+def test_pipeline_line_dedup_single_long_line(spark):
+    import corpus_pipeline
+
+    long_ = "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, f"one\n{long_}\nx"), (2, f"two\n{long_}\ny"), (3, long_), (4, "short line\nz"), (5, "short line\nw")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: "two\ny", 4: rows[3][1], 5: rows[4][1]}
+
+
 # -- chat -----------------------------------------------------------------------------
 
 
