@@ -4,12 +4,13 @@ Method: two generative models over hashed n-grams (words and pairs of words), on
 of target text and one of raw text, give each document a log importance weight;
 documents are drawn by Gumbel top-k.
 
-The models count documents that hold an n-gram, so that one repetitive text weighs
-no more than another.  Both are fitted on a bounded sample of labelled rows
-(`max_labels`: the rows with the smallest hashes): target text is what is labelled
-good and not toxic, raw text all of the sample.  Raw counts of the whole corpus don't
-do: where copies and shared passages are labelled more seldom than other text, the
-ratio would speak against every clean document that holds such a passage.  A bucket carries weight only where the ratio is
+The models count texts that hold an n-gram, so that one repetitive text weighs no more
+than another, and a text with copies counts once: each of its c rows counts 1/c, in
+whole units of 1/UNITS, whose sums don't depend on their order.  Raw text is the whole
+corpus, labelled or not; target text is what is labelled good and not toxic, and in no
+copy otherwise.  All labels are used, unless `max_labels` is given (those with the
+smallest hashes).  Texts travel to their labels and numbers of copies only where these
+are too many to be broadcast.  A bucket carries weight only where the ratio is
 under 1/e and the deviance from the raw model is at least `deviance`: then a
 document's weight does not drift with its length.  k is the number of documents
 whose weight is at least `cut`, unless given; `temperature` scales the noise.
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 BITS, CHUNK_BITS = 20, 15
-MAX_LABELS, SEED = 50_000, 20240301
+SEED, UNITS = 20240301, 1 << 32
 DEVIANCE, CUT, TEMPERATURE = 14.0, -2.0, 0.05
 
 _KIND = np.ones(256, dtype=np.uint8)  # 1: marks
@@ -75,41 +76,40 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key >> (2 * BITS), key >> BITS & mask, (key & mask) + (1 << BITS)
 
 
-def _count(targets):
-    """Labelled documents that hold each bucket, of all and of the target ones, packed by chunks of buckets."""
-
-    @C.tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, goal = np.zeros(2 << BITS, dtype=np.int64), np.zeros(2 << BITS, dtype=np.int64)
-        known, good = targets.value
-        n = m = 0
-        for b in batches:
-            ids = b.column(0).fill_null(-1).to_numpy() if b.column(0).null_count else b.column(0).to_numpy()
-            rows = np.flatnonzero(np.isin(ids, known) & np.asarray(b.column(0).is_valid()))
-            wanted = np.isin(ids[rows], good)
-            n, m = n + len(rows), m + int(wanted.sum())
-            for lo, hi, data, off in C.text_blocks(b.column(1).take(pa.array(rows))):
-                doc, *buckets = features(data, off)
-                mine = wanted[lo:hi][doc]
-                for bucket in buckets:
-                    raw += np.bincount(bucket, minlength=2 << BITS)
-                    goal += np.bincount(bucket[mine], minlength=2 << BITS)
-        if n:
-            size = 1 << CHUNK_BITS
-            small = np.uint16 if n < 1 << 16 else np.int64
-            parts = range(0, 2 << BITS, size)
-            pack = lambda a: [a[i : i + size].astype(small).tobytes() for i in parts]
-            k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(pack(raw), pa.binary()), pa.array(pack(goal), pa.binary()), pa.array([n] * k, pa.int64()), pa.array([m] * k, pa.int64())], names=["chunk", "raw", "goal", "n", "m"])
-
-    return run
+@C.tidy
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of texts that hold each bucket, of all and of the target ones, packed by chunks of buckets.  A batch: text, copies, good."""
+    raw, goal = np.zeros(2 << BITS, dtype=np.int64), np.zeros(2 << BITS, dtype=np.int64)
+    n = m = 0
+    for b in batches:
+        units = UNITS // b.column(1).to_numpy()
+        wanted = units * b.column(2).to_numpy()
+        n, m = n + int(units.sum()), m + int(wanted.sum())
+        for lo, hi, data, off in C.text_blocks(b.column(0)):
+            doc, *buckets = features(data, off)
+            for one, sums in ((units, raw), (wanted, goal)):
+                mine = one[lo:hi][doc]
+                some = mine > 0
+                for bucket in buckets:  # a block's sums are far below 2**53
+                    sums += np.bincount(bucket[some], weights=mine[some], minlength=2 << BITS).astype(np.int64)
+    if n:
+        size = 1 << CHUNK_BITS
+        parts = range(0, 2 << BITS, size)
+        pack = lambda a: [pa.compress(a[i : i + size].tobytes(), codec="zstd", asbytes=True) for i in parts]
+        k = len(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(pack(raw), pa.binary()), pa.array(pack(goal), pa.binary()), pa.array([n] * k, pa.int64()), pa.array([m] * k, pa.int64())], names=["chunk", "raw", "goal", "n", "m"])
 
 
 def _total(table: pa.Table) -> pa.Table:
     size = 1 << CHUNK_BITS
-    wide = lambda x: np.frombuffer(x, dtype=np.uint16 if len(x) == 2 * size else np.int64)
-    add = lambda name: np.sum([wide(x) for x in table.column(name).to_pylist()], axis=0, dtype=np.int64)
-    return pa.table({"chunk": table.column("chunk").slice(0, 1).cast(pa.int32()), "raw": [add("raw").tobytes()], "goal": [add("goal").tobytes()], "n": [sum(table.column("n").to_pylist())], "m": [sum(table.column("m").to_pylist())]})
+
+    def add(name: str) -> bytes:
+        total = np.zeros(size, dtype=np.int64)
+        for x in table.column(name):
+            total += np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=8 * size, codec="zstd"), dtype=np.int64)
+        return total.tobytes()
+
+    return pa.table({"chunk": table.column("chunk").slice(0, 1).cast(pa.int32()), "raw": [add("raw")], "goal": [add("goal")], "n": [sum(table.column("n").to_pylist())], "m": [sum(table.column("m").to_pylist())]})
 
 
 def bucket_weights(raw: np.ndarray, goal: np.ndarray, n: int, m: int, deviance: float = DEVIANCE) -> np.ndarray:
@@ -123,21 +123,26 @@ def bucket_weights(raw: np.ndarray, goal: np.ndarray, n: int, m: int, deviance:
     return np.where((ratio < -1) & (dev >= deviance), ratio, 0).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, deviance: float = DEVIANCE) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, max_labels: int | None = None, deviance: float = DEVIANCE) -> np.ndarray:
     """The weights of the buckets of both tables.  labels: doc_id, quality, toxic; target is quality 1, toxic 0."""
-    spark = docs.sparkSession
-    sample = labels.select("doc_id", "quality", "toxic").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(max_labels)
-    rows = sample.collect()
-    good = np.array(sorted({r.doc_id for r in rows} - {r.doc_id for r in rows if r.quality != 1 or r.toxic != 0}), dtype=np.int64)
-    known = np.array(sorted({r.doc_id for r in rows}), dtype=np.int64)
-    counts = docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(_count(spark.sparkContext.broadcast((known, good))), "chunk int, raw binary, goal binary, n long, m long")
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), "quality", "toxic").filter(F.col("doc_id").isNotNull())
+    if max_labels is not None:
+        known = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(max_labels)
+    target = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False)).cast("int")
+    known = known.groupBy("doc_id").agg(F.min(target).alias("good"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).filter(F.col("text").isNotNull()).withColumn("text_key", F.xxhash64("text"))
+    marks = texts.select("doc_id", "text_key").join(known, "doc_id", "left").groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.coalesce(F.min("good"), F.lit(0)).cast("long").alias("good"))
+    marks = C.if_small(C.stored(marks.filter("copies > 1 OR good = 1")))
+    marked = texts.select("text_key", "text").join(marks, "text_key", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("good", F.lit(0)).alias("good"))
+    counts = marked.mapInArrow(_count, "chunk int, raw binary, goal binary, n long, m long")
     rows = counts.groupBy("chunk").applyInArrow(_total, "chunk int, raw binary, goal binary, n long, m long").collect()  # 2 * 2**BITS numbers, whatever the corpus
     raw, goal = np.zeros(2 << BITS, dtype=np.int64), np.zeros(2 << BITS, dtype=np.int64)
     for r in rows:
         at = r.chunk << CHUNK_BITS
         raw[at : at + (1 << CHUNK_BITS)] = np.frombuffer(r.raw, dtype=np.int64)
         goal[at : at + (1 << CHUNK_BITS)] = np.frombuffer(r.goal, dtype=np.int64)
-    return bucket_weights(raw, goal, rows[0].n if rows else 0, rows[0].m if rows else 0, deviance)
+    n, m = (rows[0].n, rows[0].m) if rows else (0, 0)
+    return bucket_weights(raw / UNITS, goal / UNITS, n / UNITS, m / UNITS, deviance)
 
 
 def _score(weights, text_at: int):
@@ -187,7 +192,7 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def select_documents(docs: DataFrame, labels: DataFrame, k: int | None = None, cut: float = CUT, temperature: float = TEMPERATURE, max_labels: int = MAX_LABELS) -> DataFrame:
+def select_documents(docs: DataFrame, labels: DataFrame, k: int | None = None, cut: float = CUT, temperature: float = TEMPERATURE, max_labels: int | None = None) -> DataFrame:
     """The rows of docs that are drawn, with all their columns and log_weight (a longer name where docs has one of that name)."""
     weights = fit(docs, labels, max_labels)
     name, noisy = "log_weight", "gumbel_key"

@@ -490,6 +490,18 @@ def test_quality_held_out(spark):
     assert importance.select_documents(table(spark, []), frame).count() == 0
 
 
+def test_quality_raw_model_is_the_corpus(spark):
+    rng = random.Random(13)
+    prose = lambda: " ".join(f"word{rng.randrange(300)}" for _ in range(40))
+    labelled = [(i, prose()) for i in range(200)]
+    bad = [(1000 + i, f"{prose()} casino jackpot {prose()}") for i in range(100)]  # none is labelled
+    shared = "an unlabelled passage that is copied as it stands"
+    copies = [(2000 + i, shared) for i in range(100)]
+    frame = spark.createDataFrame([(i, 1, 0) for i, _ in labelled], "doc_id long, quality int, toxic int")
+    got = {r.doc_id for r in importance.select_documents(table(spark, labelled + bad + copies), frame).collect()}
+    assert got == {i for i, _ in labelled + copies}
+
+
 def test_features_by_hand():
     texts = ["a b a b", "", "X!! x!!", "a a a a a", "é É"]
     raw = [t.encode() for t in texts]
