@@ -70,29 +70,67 @@ def brute_substrings(rows, window):
     return out
 
 
-@pytest.mark.parametrize("reference_words", [0, 10**9])
-def test_substring_dedup(spark, reference_words):
+@pytest.mark.parametrize("shard_words", [300, 10**6])
+def test_substring_dedup(spark, shard_words):
     rows = DOCS + [(None, DOCS[1][1])]
-    got = substring_dedup.substring_dedup(table(spark, rows), max_reference_words=reference_words).collect()
+    got = substring_dedup.substring_dedup(table(spark, rows), shard_words=shard_words).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == Counter(brute_substrings(rows, 50))
 
 
-@pytest.mark.parametrize("reference_words", [0, 10**9])
-def test_substring_dedup_small_windows(spark, reference_words):
+@pytest.mark.parametrize("shard_words", [10, 10**6])
+def test_substring_dedup_small_windows(spark, shard_words):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for i in range(60)]
-    got = substring_dedup.substring_dedup(table(spark, rows), window=8, gram=3, max_reference_words=reference_words).collect()
+    got = substring_dedup.substring_dedup(table(spark, rows), window=8, gram=3, shard_words=shard_words).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == Counter(brute_substrings(rows, 8))
 
 
-def test_fingerprints_cover_every_window():
+def test_substring_dedup_of_a_passage_in_many_surroundings(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passage, short = prose(62), prose(30)
+    rows = [(i, f"{prose(rng.randint(0, 50))} {passage if i % 3 else short} {prose(rng.randint(0, 50))}") for i in range(80)] + [(5, None), (6, "")]
+    got = substring_dedup.substring_dedup(table(spark, rows), shard_words=500).collect()
+    want = brute_substrings(rows, 50)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == Counter(want)
+    assert sum(r[2] >= 62 for r in want) > 40
+
+
+def test_substring_dedup_repeated_rows_and_empty_table(spark):
+    rows = [(1, DOCS[0][1])] * 4 + [(2, DOCS[0][1])] * 3
+    got = substring_dedup.substring_dedup(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == Counter(brute_substrings(rows, 50))
+    assert substring_dedup.substring_dedup(table(spark, [])).count() == 0
+
+
+def test_reference_spans(spark):
+    docs = table(spark, DOCS).selectExpr("doc_id", "xxhash64(text) as row_key", "text")
+    got = Counter(r.doc_id for r in substring_dedup.reference_spans(docs, docs, shard_words=500, most_words=10**6).collect())
+    least, words = {}, {(i, t): WORD.findall(t or "") for i, t in set(DOCS)}
+    for (i, _), w in words.items():
+        for k in range(len(w) - 49):
+            least[tuple(w[k : k + 50])] = min(least.get(tuple(w[k : k + 50]), i), i)
+    want = Counter(i for (i, _), w in words.items() for k in range(len(w) - 49) if least[tuple(w[k : k + 50])] < i)
+    assert got == want
+    with pytest.raises(ValueError):
+        substring_dedup.reference_spans(docs, docs, most_words=100)
+
+
+def test_every_window_is_in_one_segment():
     rng = np.random.default_rng(0)
     text = " ".join(rng.choice(list("abcdefgh"), 500)).encode()
     w = C.Words(np.frombuffer(text, dtype=np.uint8), np.array([0, 300, len(text)]))
-    at = set(substring_dedup.select_fingerprints(w, 20, 5)[0].tolist())
-    for lo, hi in zip(w.bounds[:-1], w.bounds[1:]):
-        for s in range(lo, hi - 19):
-            assert at & set(range(s, s + 16))
+    first, size, key, _ = substring_dedup.select_segments(w, 20, 5)
+    got = [s for a, n in zip(first.tolist(), size.tolist()) for s in range(a, a + n)]
+    assert got == [s for lo, hi in zip(w.bounds[:-1], w.bounds[1:]) for s in range(lo, hi - 19)]
+    names = {}
+    for a, n, k in zip(first.tolist(), size.tolist(), key.tolist()):
+        for s in range(a, a + n):
+            assert names.setdefault(tuple(w.hashes[s : s + 20].tolist()), k) == k
+    for depth in (1, 3, 16):
+        by = {}
+        for s, name in enumerate(substring_dedup.window_names(w.hashes[:400], 20, 5, depth).tolist()):
+            assert by.setdefault(tuple(w.hashes[s : s + 20].tolist()), name) == name
 
 
 # -- line dedup -----------------------------------------------------------------------
