@@ -19,8 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a kernel handles at once; bounds a worker's memory.
 BLOCK_BYTES = 1 << 20
@@ -232,6 +234,61 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _running(order: int, weight: int):
+    """Each row of a sorted partition with the sum of the weights before it in its group, and at the end one row with the partition's first and last group."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        first = last = schema = None
+        held = 0
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            schema = b.schema
+            group, n = b.column(order).to_numpy(), b.column(weight).to_numpy()
+            if first is None:
+                first = last = int(group[0])
+            before = np.cumsum(n) - n
+            new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            start = np.repeat(before[new], np.diff(np.append(new, len(n))))
+            before = before - start
+            if group[0] == last:
+                before[: new[1] if len(new) > 1 else len(n)] += held
+            last, held = int(group[-1]), int(before[-1] + n[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.int64()), pa.array(np.full(len(n), part), pa.int64()), pa.nulls(len(n), pa.list_(pa.int64()))], names=[*b.schema.names, "__before", "__part", "__edge"])
+        if schema is not None:
+            edge = pa.array([[first, last, held]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in schema), pa.nulls(1, pa.int64()), pa.array([part], pa.int64()), edge], names=[*schema.names, "__before", "__part", "__edge"])
+
+    return run
+
+
+def running(df: DataFrame, order: list[str], weight: str, name: str, within: str | None = None) -> DataFrame:
+    """df, stored, with the sum of `weight` over all rows before in the order (of the same `within`, which must come first in it).
+
+    Rows are sorted by ranges, so that a large group is spread over tasks; one row for each range comes to the driver.
+    """
+    spark = df.sparkSession
+    columns = df.columns
+    ranged = df.withColumn("__group", F.col(within).cast("long") if within else F.lit(0).cast("long"))
+    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order)
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in ranged.schema.fields]).add("__before", T.LongType()).add("__part", T.LongType()).add("__edge", T.ArrayType(T.LongType()))
+    rows = stored(ranged.mapInArrow(_running(len(columns), columns.index(weight)), kind))
+    carry, last, held = [], None, 0
+    for r in rows.filter("__edge IS NOT NULL").select("__part", "__edge").orderBy("__part").collect():
+        a, z, n = r["__edge"]
+        more = held if a == last else 0
+        if more:
+            carry.append((r["__part"], a, more))
+        last, held = z, n + (more if a == z else 0)
+    out = rows.filter("__edge IS NULL")
+    if carry:
+        out = out.join(F.broadcast(spark.createDataFrame(carry, "__part long, __group long, __more long")), ["__part", "__group"], "left")
+        return out.select(*columns, (F.col("__before") + F.coalesce("__more", F.lit(0))).alias(name))
+    return out.select(*columns, F.col("__before").alias(name))
+
+
 def narrow(docs: DataFrame, *names: str) -> DataFrame:
     """Only these columns; extra columns, whatever their names, are left behind."""
     return docs.select(*[docs[n] for n in names])

@@ -136,36 +136,6 @@ def test_every_window_is_in_one_segment():
 # -- line dedup -----------------------------------------------------------------------
 
 
-def brute_lines(rows, min_lines, min_chars):
-    docs = first_of_ids(rows)
-    bare = lambda x: re.sub(r"^[\t\r]+|[\t\r]+$", "", x).strip(" ")
-    order = sorted(docs, key=lambda r: r[0])
-    if len({r[0] for r in order}) != len(order):
-        raise ValueError("ids must be unique here")
-    seen, gone = {}, defaultdict(set)
-    for i, t in order:
-        if t is None:
-            continue
-        lines = t.split("\n")
-        for k in range(len(lines) - min_lines + 1):
-            key = tuple(bare(x) for x in lines[k : k + min_lines])
-            if key in seen:
-                if sum(map(len, key)) >= min_chars:
-                    gone[i] |= set(range(k, k + min_lines))
-            else:
-                seen[key] = (i, k)
-    return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), 0 if t is None else len(t.split("\n")), len(gone[i])) for i, t in docs]
-
-
-@pytest.mark.parametrize("min_lines,min_chars", [(1, 2), (2, 4), (3, 5), (4, 0), (5, 3)])
-def test_line_dedup(spark, min_lines, min_chars):
-    rng = random.Random(7)
-    rows = [(i, "\n".join(rng.choice(["a", "bb", "ccc ", "", "\tdd", "e f"]) for _ in range(rng.randint(1, 14)))) for i in range(60)]
-    rows += [(60, None), (61, ""), (62, rows[3][1]), (63, rows[3][1]), (64, "ccc\n" * 40)]
-    got = line_dedup.line_dedup(table(spark, rows), min_lines, min_chars).collect()
-    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got) == Counter(brute_lines(rows, min_lines, min_chars))
-
-
 def test_line_dedup_repeated_rows_and_null_ids(spark):
     rows = [(1, "aaaa\nbbbb"), (1, "aaaa\nbbbb"), (None, "aaaa\nbbbb"), (2, "aaaa\nbbbb")]
     got = Counter((r.doc_id, r.n_removed) for r in line_dedup.line_dedup(table(spark, rows), 2, 1).collect())
@@ -187,15 +157,67 @@ def brute_runs(rows, min_lines, min_chars):
     return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), 0 if t is None else len(t.split("\n")), len(gone[i])) for i, t in rows]
 
 
-@pytest.mark.parametrize("min_lines,min_chars", [(1, 2), (1, 7), (2, 4), (2, 9), (3, 5), (4, 0), (5, 30)])
-def test_line_dedup_whole_runs(spark, min_lines, min_chars):
+@pytest.mark.parametrize("min_lines,min_chars", [(1, 7), (2, 9)])
+def test_line_dedup(spark, min_lines, min_chars):
     rng = random.Random(9)
     rows = [(i, "\n".join(rng.choice(["a", "bb", "ccc ", "", "\tdd", "e f", "日本 é", " \tx\r"]) for _ in range(rng.randint(1, 14)))) for i in range(60)]
     rows += [(60, None), (61, ""), (62, rows[3][1]), (63, rows[3][1]), (64, "ccc\n" * 40), (65, "zz\n" + rows[5][1] + "\nyy"), (66, rows[5][1] + "\nq")]
-    got = line_dedup.line_dedup(table(spark, rows), min_lines, min_chars, whole_runs=True).collect()
+    got = line_dedup.line_dedup(table(spark, rows), min_lines, min_chars).collect()
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got) == Counter(brute_runs(rows, min_lines, min_chars))
 
 
+def test_line_dedup_long_texts_and_empty_table(spark):
+    rng = random.Random(19)
+    page = [rng.choice("abcdefgh") for _ in range(700)]
+    rows = [(1, "\n".join(page)), (2, "\n".join(page[:400] + ["new"] + page[400:])), (3, "\n".join(page)), (4, "x\n" * 300), (5, "y\n" + "x\n" * 130), (6, "only " * 9000)]
+    got = line_dedup.line_dedup(table(spark, rows), 3, 9).collect()
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got) == Counter(brute_runs_by_hash(rows, 3, 9))
+    assert line_dedup.line_dedup(table(spark, [])).count() == 0
+    assert line_dedup.line_dedup(table(spark, [(1, None), (None, "a")])).count() == 2
+
+
+def brute_runs_by_hash(rows, min_lines, min_chars):
+    """The longest run from each line that occurs before, line by line."""
+    out, lines = [], []
+    for _, t in rows:
+        lines.append(t.split("\n"))
+    for d, (i, t) in enumerate(rows):
+        gone = set()
+        for k in range(len(lines[d])):
+            best = 0
+            for e in range(d + 1):
+                for q in range(len(lines[e]) if e < d else k):
+                    if q + best < len(lines[e]) and lines[e][q : q + best + 1] == lines[d][k : k + best + 1]:
+                        while k + best < len(lines[d]) and q + best < len(lines[e]) and lines[e][q + best] == lines[d][k + best]:
+                            best += 1
+            if best >= min_lines and sum(len(x) for x in lines[d][k : k + best]) >= min_chars:
+                gone |= set(range(k, k + best))
+        out.append((i, "\n".join(x for k, x in enumerate(lines[d]) if k not in gone), len(lines[d]), len(gone)))
+    return out
+
+
+def test_suffix_array(spark):
+    rng = random.Random(23)
+    rows = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))) for i in range(40)] + [(40, "a\n" * 30), (41, "zz")]
+    docs = table(spark, rows).selectExpr("doc_id", "xxhash64(text) as row_key", "text")
+    places, ranks, intervals = line_dedup.doubled(docs)
+    ids = {x: int(line_dedup.line_spans(np.frombuffer(x.encode(), dtype=np.uint8), np.array([0, len(x)]))[0].view(np.int64)[0]) for _, t in rows for x in t.split("\n")}
+    at, suffixes = 0, {}
+    for _, t in rows:
+        lines = [ids[x] for x in t.split("\n")]
+        for k in range(len(lines)):
+            suffixes[at + k] = tuple(lines[k:])
+        at += len(lines) + 1
+    order = sorted(suffixes.values())
+    assert {r.pos: r["rank"] for r in ranks.collect()} == {p: order.index(s) for p, s in suffixes.items()}
+    for h, shared in intervals:
+        groups = defaultdict(list)
+        for p, s in suffixes.items():
+            if len(s) >= h:
+                groups[s[:h]].append(p)
+        assert {(r.pos, r.first) for r in shared.collect()} == {(p, min(g)) for g in groups.values() if len(g) > 1 for p in g}
+
+
 def test_pipeline_line_dedup_whole_run_of_short_lines(spark):
     import corpus_pipeline
 
