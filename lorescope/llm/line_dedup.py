@@ -166,7 +166,6 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN
         plan = base.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<long>").alias("sizes"), *keep)
     else:
         runs = found.filter(F.col("n") >= min_lines).join(places, "pos").groupBy("doc_id", "row_key").agg(F.collect_list("line").alias("starts"), F.collect_list("n").alias("sizes"))
-        runs = C.if_small(C.stored(runs), "starts", "sizes")
         plan = base.join(runs, ["doc_id", "row_key"], "left").select("doc_id", "text", "starts", "sizes", *keep)
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in plan.schema.fields[4:])
     return plan.mapInArrow(_rewrite(min_lines, min_chars), f"doc_id long, text string, n_lines long, n_removed long{extra}")
