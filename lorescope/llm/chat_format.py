@@ -5,7 +5,13 @@ turns, user first, assistant last.  A dynamic program over the automaton of thes
 gives each turn a role, and decides whether it is merged with the turn before it and
 whether empty turns are inserted before it, at the least total cost; among equal ones it
 takes, from the end backwards, the first state in the order start, system, user,
-assistant, and the merge before the insertion.  The repaired sequence is then rendered.
+assistant.  A short turn is merged with one of its role before it (MERGE); a turn of more
+than LONG_TURN characters stands by itself (MERGE_LONG is more than INSERT), so an empty
+turn of the other role goes between them.  The repaired sequence is then rendered.
+
+A role marker inside a text is escaped: "<|" gets a backslash between its two signs, and
+one more where there are some already, so that texts can't forge turns and `unescape`
+gives them back exactly.
 
 Turns are ranged and sorted by (conv_id, turn), so a conversation that holds a third of
 all rows is cut into fragments, each in one partition.  Conversations inside a partition
@@ -23,6 +29,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,23 +40,31 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ROLES = ("system", "user", "assistant")
-RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 3, 1, 2, 4
+RELABEL, RELABEL_UNKNOWN, MERGE, MERGE_LONG, INSERT = 3, 1, 2, 6, 4
+#: Characters beyond which a turn isn't merged if that can be helped.
+LONG_TURN = 600
 START, SYSTEM, USER, ASSISTANT = range(4)
 INF = 1 << 40
-#: (state before, state after): ways to get there, as (cost, merged, inserted roles), the preferred first.
-MOVES = {
-    (START, SYSTEM): [(0, False, ())],
-    (START, USER): [(0, False, ())],
-    (START, ASSISTANT): [(INSERT, False, (USER,))],
-    (SYSTEM, SYSTEM): [(MERGE, True, ())],
-    (SYSTEM, USER): [(0, False, ())],
-    (SYSTEM, ASSISTANT): [(INSERT, False, (USER,))],
-    (USER, USER): [(MERGE, True, ()), (INSERT, False, (ASSISTANT,))],
-    (USER, ASSISTANT): [(0, False, ())],
-    (ASSISTANT, USER): [(0, False, ())],
-    (ASSISTANT, ASSISTANT): [(MERGE, True, ()), (INSERT, False, (USER,))],
-}
-STEP = {k: min(v, key=lambda m: m[0]) for k, v in MOVES.items()}
+
+
+def moves(merge: int) -> dict[tuple[int, int], tuple[int, bool, tuple[int, ...]]]:
+    """(state before, state after): the cheapest way there, as (cost, merged, inserted roles), where a merge costs so much."""
+    same = lambda other: min((merge, True, ()), (INSERT, False, (other,)))
+    return {
+        (START, SYSTEM): (0, False, ()),
+        (START, USER): (0, False, ()),
+        (START, ASSISTANT): (INSERT, False, (USER,)),
+        (SYSTEM, SYSTEM): (merge, True, ()),
+        (SYSTEM, USER): (0, False, ()),
+        (SYSTEM, ASSISTANT): (INSERT, False, (USER,)),
+        (USER, USER): same(ASSISTANT),
+        (USER, ASSISTANT): (0, False, ()),
+        (ASSISTANT, USER): (0, False, ()),
+        (ASSISTANT, ASSISTANT): same(USER),
+    }
+
+
+STEP = {False: moves(MERGE), True: moves(MERGE_LONG)}
 #: Cost of ending in a state, and the empty turns inserted there.
 END = {START: (0, ()), SYSTEM: (2 * INSERT, (USER, ASSISTANT)), USER: (INSERT, (ASSISTANT,)), ASSISTANT: (0, ())}
 
@@ -60,12 +75,20 @@ def relabel_cost(role: str | None, to: int) -> int:
     return 0 if ROLES[to - 1] == role else RELABEL
 
 
-def forward(roles: list[str | None], before: list[int]) -> list[list[int]]:
+Turn = tuple[str | None, bool]
+
+
+def turns_of(roles: list[str | None], texts: list[str | None]) -> list[Turn]:
+    """Role, and whether the text is long."""
+    return [(r, len(t or "") > LONG_TURN) for r, t in zip(roles, texts)]
+
+
+def forward(turns: list[Turn], before: list[int]) -> list[list[int]]:
     """Least cost of each state before every turn and at the end, from the costs before the first."""
     rows = [before]
-    for role in roles:
+    for role, long_ in turns:
         last, now = rows[-1], [INF] * 4
-        for (q, r), (cost, _, _) in STEP.items():
+        for (q, r), (cost, _, _) in STEP[long_].items():
             c = last[q] + cost + relabel_cost(role, r)
             if c < now[r]:
                 now[r] = c
@@ -73,13 +96,12 @@ def forward(roles: list[str | None], before: list[int]) -> list[list[int]]:
     return rows
 
 
-def backward(roles: list[str | None], rows: list[list[int]], end: int) -> list[int]:
+def backward(turns: list[Turn], rows: list[list[int]], end: int) -> list[int]:
     """The states of a least-cost path that ends in `end`; the first is the one before the first turn."""
     path = [end]
-    for t in range(len(roles) - 1, -1, -1):
-        r = path[-1]
-        ways = [(rows[t][q] + STEP[q, r][0], q) for q in range(4) if (q, r) in STEP]
-        path.append(min(ways)[1])
+    for t in range(len(turns) - 1, -1, -1):
+        r, step = path[-1], STEP[turns[t][1]]
+        path.append(min((rows[t][q] + step[q, r][0], q) for q in range(4) if (q, r) in step)[1])
     return path[::-1]
 
 
@@ -91,15 +113,23 @@ def head(role: int) -> str:
     return f"<|{ROLES[role - 1]}|>\n"
 
 
+def escape(text: str) -> str:
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+
+
+def unescape(text: str) -> str:
+    return re.sub(r"<(\\*)\\\|", r"<\1|", text)
+
+
 def repaired(roles: list[str | None], texts: list[str | None], path: list[int], last: bool) -> list[tuple]:
     """(new role, action, inserted before, inserted after, cost, rendered) of each turn."""
     out = []
     for t, (role, text) in enumerate(zip(roles, texts)):
         q, r = path[t], path[t + 1]
-        cost, merged, inserted = STEP[q, r]
+        cost, merged, inserted = STEP[len(text or "") > LONG_TURN][q, r]
         cost += relabel_cost(role, r)
         action = "merge" if merged else "keep" if role == ROLES[r - 1] else "relabel"
-        segment = "".join(head(x) + "\n" for x in inserted) + ("" if merged else head(r)) + (text or "") + "\n"
+        segment = "".join(head(x) + "\n" for x in inserted) + ("" if merged else head(r)) + escape(text or "") + "\n"
         after = ()
         if last and t == len(roles) - 1:
             more, after = END[r]
@@ -112,8 +142,9 @@ def repaired(roles: list[str | None], texts: list[str | None], path: list[int],
 
 def repair(roles: list[str | None], texts: list[str | None]) -> list[tuple]:
     """A whole conversation."""
-    rows = forward(roles, [0, INF, INF, INF])
-    return repaired(roles, texts, backward(roles, rows, best_end(rows[-1])), True)
+    turns = turns_of(roles, texts)
+    rows = forward(turns, [0, INF, INF, INF])
+    return repaired(roles, texts, backward(turns, rows, best_end(rows[-1])), True)
 
 
 _TURN = "conv_id long, turn long, role string"
@@ -141,7 +172,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if edge is None:
             return [(ids, t, r, *done, None, part, None, None, None) for t, r, done in zip(turns, roles, repair(roles, texts))]
         none = (None,) * 6
-        matrix = [c for q in range(4) for c in forward(roles, _unit(q))[-1]]
+        matrix = [c for q in range(4) for c in forward(turns_of(roles, texts), _unit(q))[-1]]
         rows = [(ids, t, r, *none, x, part, i, edge, None) for i, (t, r, x) in enumerate(zip(turns, roles, texts))]
         return [*rows, (ids, None, None, *none, None, part, len(turns), edge, matrix)]
 
@@ -169,9 +200,9 @@ def _comes_from(costs):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
-        roles, key = table.column("role").to_pylist(), (table.column("part")[0].as_py(), table.column("edge")[0].as_py())
-        rows = forward(roles, costs.value[key])
-        return pa.table({"part": pa.array([key[0]], pa.int32()), "edge": pa.array([key[1]], pa.int32()), "origin": pa.array([[backward(roles, rows, r)[0] if rows[-1][r] < INF else -1 for r in range(4)]], pa.list_(pa.int32()))})
+        turns, key = turns_of(table.column("role").to_pylist(), table.column("text").to_pylist()), (table.column("part")[0].as_py(), table.column("edge")[0].as_py())
+        rows = forward(turns, costs.value[key])
+        return pa.table({"part": pa.array([key[0]], pa.int32()), "edge": pa.array([key[1]], pa.int32()), "origin": pa.array([[backward(turns, rows, r)[0] if rows[-1][r] < INF else -1 for r in range(4)]], pa.list_(pa.int32()))})
 
     return run
 
@@ -181,7 +212,8 @@ def _finish(known):
         table = table.sort_by("seq")
         roles, texts = table.column("role").to_pylist(), table.column("text").to_pylist()
         before, end, last = known.value[table.column("part")[0].as_py(), table.column("edge")[0].as_py()]
-        done = repaired(roles, texts, backward(roles, forward(roles, before), end), last)
+        turns = turns_of(roles, texts)
+        done = repaired(roles, texts, backward(turns, forward(turns, before), end), last)
         rows = [(c, t, r, *d) for c, t, r, d in zip(table.column("conv_id").to_pylist(), table.column("turn").to_pylist(), roles, done)]
         return pa.Table.from_batches([_batch(rows, _ARROW)])
 
