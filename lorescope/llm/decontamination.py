@@ -35,6 +35,8 @@ from . import common as C
 MAX_EDITS = 0.2
 #: Words of one broadcast block of items.
 ITEM_WORDS = 1 << 20
+#: Numbers of one piece of embeddings, about; bounds a worker's memory, however long an item is.
+GRID = 1 << 21
 #: Sampled positions of one hash, and hashes; at 40 % equal positions a pair meets with chance 1 - (1 - 0.4**2)**40 = 0.999.
 BITS, REPEATS, SEED = 2, 40, 5
 
@@ -81,10 +83,23 @@ class Items:
         rng = np.random.default_rng(SEED)
         self.walk = rng.integers(0, 1 << 63, 3 * most, dtype=np.uint64)  # salts of the random walk's steps
         self.sample = rng.random((REPEATS, BITS))
-        grid = np.zeros((len(words), most), dtype=np.uint64)
-        for i, w in enumerate(words):
-            grid[i, : len(w)] = w
-        self.keys = self.lsh(grid, self.size, np.arange(len(words)))
+        flat, first = np.concatenate([*words, np.zeros(1, dtype=np.uint64)]), np.cumsum(self.size) - self.size
+        self.keys = self.embedded(flat, first, self.size, np.arange(len(words)))
+
+    def embedded(self, words: np.ndarray, start: np.ndarray, size: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Keys of the windows words[start:start+size], to be compared with the items'; shorter items first, in pieces of about GRID numbers."""
+        keys = np.zeros((len(start), REPEATS), dtype=np.uint64)
+        order = np.argsort(self.size[item], kind="stable")
+        lo = 0
+        while lo < len(order):
+            wide = self.size[item[order[lo:]]]
+            hi = lo + max(1, int(np.searchsorted(3 * wide * np.arange(1, len(wide) + 1), GRID, side="right")))
+            k = order[lo:hi]
+            most = int(wide[hi - lo - 1])
+            grid = words[np.minimum(start[k][:, None] + np.arange(most), len(words) - 1)]
+            keys[k] = self.lsh(grid, np.minimum(size[k], most), item[k])
+            lo = hi
+        return keys
 
     def lsh(self, grid: np.ndarray, size: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Keys (window, repeat) of the CGK embeddings of the rows of grid, to be compared with the item's."""
@@ -158,13 +173,7 @@ def _leaks(sent):
                 size = np.diff(bounds)
                 a = np.clip(start, 0, size[doc])
                 z = np.clip(start + items.size[item], 0, size[doc])
-                most = int(items.size.max())
-                meets = np.zeros(len(doc), dtype=bool)
-                for i in range(0, len(doc), 4096):
-                    k = slice(i, i + 4096)
-                    at = bounds[doc[k]][:, None] + a[k][:, None] + np.arange(most)
-                    grid = hashes[np.minimum(at, len(hashes) - 1)]
-                    meets[k] = (items.lsh(grid, (z - a)[k], item[k]) == items.keys[item[k]]).any(axis=1)
+                meets = (items.embedded(hashes, bounds[doc] + a, z - a, item) == items.keys[item]).any(axis=1)
                 rows = {}
                 for d, i, x, y in zip(doc[meets].tolist(), item[meets].tolist(), a[meets].tolist(), z[meets].tolist()):
                     r = int(items.edits[i])
