@@ -4,7 +4,8 @@ A text is known by the SHA-256 of its normalised content (null becomes the empty
 text; nothing else may change, for every byte can matter to a tokenizer) and a
 tokenizer by the SHA-256 of its file and library version.  Counts stored under
 both digests are joined; only one text of each missing digest is encoded, and its
-count is appended to the cache.
+count is appended to the cache.  Rows that repeat that text's doc_id as well come to one
+task, which encodes the first (to several, if the engine splits so hot a key).
 
 Defined results: null is the empty text, with 0 bytes; equal texts have one cache
 row; repeated rows are each counted; extra columns are ignored; an empty table
@@ -61,8 +62,13 @@ def _counter(path: str):
 def _encode(path: str):
     @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(path)
+        count, seen = _counter(path), set()
         for b in batches:
+            fresh = [i for i, d in enumerate(b.column(0).to_pylist()) if d not in seen and not seen.add(d)]
+            if len(fresh) < b.num_rows:
+                b = b.take(pa.array(fresh, pa.int64()))
+            if len(seen) > 1 << 19:
+                seen.clear()
             texts, counts, held, size = b.column(1).to_pylist(), [], [], 0
             for t in texts:
                 held.append(t)
@@ -98,7 +104,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     whole = docs.select(docs["doc_id"], F.sha2(text, 256).alias("digest"), text.alias("text"))
     texts = misses.join(whole, (misses["digest"] == whole["digest"]) & misses["doc_id"].eqNullSafe(whole["doc_id"])).select(misses["digest"], whole["text"])
     counted = texts.mapInArrow(_encode(tokenizer_path), "digest string, n_tokens long")
-    counted = counted.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))  # rows that repeat a doc_id and a text
+    counted = counted.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))  # where a hot key was split
     counted.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     return keyed.join(cache().dropDuplicates(["digest"]), "digest").select("doc_id", "n_bytes", "n_tokens")
 
