@@ -146,25 +146,25 @@ def _packed(keys: list, nodes: list, buckets: int) -> pa.RecordBatch:
     v = v if few else nodes[v]
     some = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
     n = len(some)
+    home = some[int(nodes[0]) % n]  # the local counts go with any bucket
     return pa.RecordBatch.from_arrays([
-        pa.array([*some, None], pa.int32()), pa.array([*(k[cuts[i] : cuts[i + 1]].tobytes() for i in some), None], pa.binary()),
+        pa.array([*some, home], pa.int32()), pa.array([*(k[cuts[i] : cuts[i + 1]].tobytes() for i in some), None], pa.binary()),
         pa.array([*(v[cuts[i] : cuts[i + 1]].tobytes() for i in some), None], pa.binary()), pa.array([*[table] * n, None], pa.binary()),
         pa.array([*[None] * n, nodes[shared].tolist()], pa.list_(pa.int64())), pa.array([*[None] * n, times.tolist()], pa.list_(pa.int32())),
     ], names=[c.split()[0] for c in _PACKED.split(", ")])
 
 
 def _meet(width: int):
-    """How many tokens of this bucket each node shares with another task's node; in the rows that hold local counts, those."""
+    """How many tokens of this bucket each node shares with another task's node, and the local counts that came along."""
 
     def run(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() is None:
-            shared, times = (pa.concat_arrays([x.flatten() for x in table.column(c).chunks]) for c in ("shared", "times"))
-            return pa.table({"node": shared.cast(pa.int64()), "times": times.cast(pa.int64())})
+        lists = [x for c in ("shared", "times") for x in [pa.concat_arrays([y.flatten() for y in table.column(c).chunks])]]
+        table = table.filter(table.column("tokens").is_valid())
         tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.uint32)
-        owners = np.concatenate([np.frombuffer(t, dtype=np.int64)[np.frombuffer(o, dtype=np.uint32)] if t else np.frombuffer(o, dtype=np.int64) for o, t in zip(table.column("owners").to_pylist(), table.column("nodes").to_pylist())])
+        owners = [np.frombuffer(t, dtype=np.int64)[np.frombuffer(o, dtype=np.uint32)] if t else np.frombuffer(o, dtype=np.int64) for o, t in zip(table.column("owners").to_pylist(), table.column("nodes").to_pylist())]
         order = np.argsort(tokens)
-        _, nodes, times = _shared(tokens[order], owners[order])
-        return pa.table({"node": pa.array(nodes, pa.int64()), "times": pa.array(times, pa.int64())})
+        _, nodes, times = _shared(tokens[order], np.concatenate(owners)[order])
+        return pa.table({"node": np.concatenate([nodes, lists[0].to_numpy().astype(np.int64)]), "times": np.concatenate([times.astype(np.int64), lists[1].to_numpy().astype(np.int64)])})
 
     return run
 
