@@ -1,17 +1,16 @@
 """Operator 9: document fingerprints by Order MinHash.
 
-A text's k-mers (k code points) are numbered by occurrence.  A hash of k-mer and
-number puts each into one of `LANES` lanes and orders it there; a lane selects its
-`TUPLE` minimal ones, takes them in text order and hashes the tuple.  Two texts agree
-in a lane when they share its minimal k-mers and these stand in the same order, so the
-likeness falls with edit distance, not only with shared content.  One hash serves all
-lanes, by its upper bits; so a text is hashed once, however many lanes there are.
+A text's k-mers (k code points) are numbered by occurrence.  Each of `LANES` independent
+hashes of k-mer and number orders all of them; a lane selects its `TUPLE` minimal ones,
+takes them in text order and hashes the tuple.  Two texts agree in a lane when they share
+its minimal k-mers and these stand in the same order, so the likeness falls with edit
+distance, not only with shared content.
 
 likeness: equal lanes over lanes that either text fills; 1 for two texts without any.
 
 Defined results: null is the empty text, whose fingerprint is all zeros; a text shorter
 than k is one k-mer; equal texts have equal fingerprints; extra columns are ignored.
-In the query rows are ordered by descending doc_id, equal ids by text, null ids last;
+In the query rows are ordered by descending doc_id, equal ids by a hash of the text, null ids last;
 a single row follows itself; an empty table gives no rows.
 """
 
@@ -29,7 +28,13 @@ from pyspark.sql import functions as F
 from . import common as C
 
 K, LANES, TUPLE = 8, 64, 2
-_LANE_BITS, _POS_BITS = 6, 20
+_POS_BITS = 20
+#: k-mers that all lanes look at together.
+CHUNK = 2048
+_rng = np.random.default_rng(20240517)
+_TIMES, _PLUS = _rng.integers(0, 1 << 63, (2, LANES, 1), dtype=np.uint64) * C.U(2) + C.U(1)
+_ROW = np.arange(LANES)
+_MOST = C.U((1 << 64) - 1)
 
 
 def _keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,32 +52,37 @@ def _keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return C.mix(kmer * C.U(0x9E3779B97F4A7C15) + nth.astype(np.uint64)), pos
 
 
+def _two_least(key: np.ndarray) -> np.ndarray:
+    """Places of the two (or the only) k-mers that each lane's hash puts first."""
+    value, place = np.full((LANES, TUPLE), _MOST), np.zeros((LANES, TUPLE), dtype=np.int64)
+    for lo in range(0, len(key), CHUNK):
+        h = key[None, lo : lo + CHUNK] * _TIMES
+        h += _PLUS
+        found, at = [value], [place]
+        for _ in range(min(TUPLE, h.shape[1])):
+            least = h.argmin(axis=1)
+            found.append(h[_ROW, least][:, None])
+            at.append(lo + least[:, None])
+            h[_ROW, least] = _MOST
+        value, place = np.concatenate(found, axis=1), np.concatenate(at, axis=1)
+        first = np.argsort(value, axis=1, kind="stable")[:, :TUPLE]
+        value, place = np.take_along_axis(value, first, axis=1), np.take_along_axis(place, first, axis=1)
+    return place[:, : min(TUPLE, len(key))]
+
+
 def fingerprint(text: str) -> np.ndarray:
-    """LANES numbers of 16 bits; 0 marks a lane that no k-mer falls in."""
-    out = np.zeros(LANES, dtype=np.uint16)
+    """LANES numbers of 16 bits; all are 0 for the empty text, none for any other."""
     if not text:
-        return out
+        return np.zeros(LANES, dtype=np.uint16)
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    h = C.fixed_hashes(C.mix(cp), min(K, len(cp)))
-    key, pos = _keys(h)
-    if len(key) > 128 * LANES * TUPLE:  # the smallest eighth or less holds what is selected, as good as always
-        low = (key << C.U(_LANE_BITS)) < C.U(min(2**64 - 1, (16 * LANES * TUPLE << 64) // len(key)))
-        some = np.bincount((key[low] >> C.U(64 - _LANE_BITS)).astype(np.int64), minlength=LANES)
-        if some.min() >= TUPLE:
-            key, pos = key[low], pos[low]
-    order = np.argsort(key)
-    key, pos = key[order], pos[order]
-    lane = (key >> C.U(64 - _LANE_BITS)).astype(np.int64)
-    at = np.searchsorted(lane, np.arange(LANES + 1))
-    a, n = at[:-1], np.diff(at)
-    full = n >= TUPLE
-    one = n == 1
-    first, second = a[full], a[full] + 1
-    swap = pos[first] > pos[second]
-    x, y = np.where(swap, key[second], key[first]), np.where(swap, key[first], key[second])
-    out[full] = (C.mix(x * C.U(3) + y) % C.U(65535)).astype(np.uint16) + 1
-    out[one] = (C.mix(key[a[one]] * C.U(5)) % C.U(65535)).astype(np.uint16) + 1
-    return out
+    key, pos = _keys(C.fixed_hashes(C.mix(cp), min(K, len(cp))))
+    place = _two_least(key)
+    order = np.argsort(pos[place], axis=1)
+    picked = key[np.take_along_axis(place, order, axis=1)]
+    total = picked[:, 0] * C.U(3)
+    if picked.shape[1] > 1:
+        total = total + picked[:, 1]
+    return (C.mix(total) % C.U(65535)).astype(np.uint16) + np.uint16(1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -160,8 +170,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
-    ranged = docs.select(docs["doc_id"].cast("long"), docs["text"]).repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie").asc(), F.col("salt").asc()]  # a repeated row is spread over 64 ranges
+    keyed = docs.select(docs["doc_id"].cast("long"), docs["text"]).withColumns({"tie": F.xxhash64("text"), "salt": F.monotonically_increasing_id().bitwiseAND(63)})
+    ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     rows = C.stored(ranged.mapInArrow(_follow, _LINK))
     ends = rows.filter(F.col("kind") == "head").select("part").orderBy("part").collect()  # a number for each range
     ids = [r.part for r in ends]
