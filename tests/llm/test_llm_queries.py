@@ -26,6 +26,69 @@ def test_same_rows_as_sql(spark, name):
     assert rows(tuple(r) for r in df.select(*cols).collect()) == rows(want.select(*[f'"{c}"' for c in cols]).fetchall())
 
 
+COLUMNS = {
+    "op1_substring_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+    "op2_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+    "op3_chat_format": {"conv_id": "bigint", "turn": "bigint", "role": "string", "rendered": "string"},
+    "op4_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op5_decontamination": {"doc_id": "bigint", "item_id": "bigint", "edits": "bigint"},
+    "op6_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
+    "op7_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op8_jaccard_join": {"doc_id": "bigint", "n_shingles": "bigint", "n_similar": "bigint", "component_id": "bigint"},
+    "op9_fingerprints": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
+    "op10_quality_classifier": {"doc_id": "bigint", "log_weight": "double"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_columns_and_rows(spark, name):
+    """Every query's schema; of those without SQL the rows, text by text."""
+    import hashlib
+    import zlib
+
+    df = QUERIES[name](spark, DATA)
+    assert COLUMNS[name].items() <= dict(df.dtypes).items()
+    if name in ORACLE_SQL:
+        return
+    found = df.collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    if name == "op3_chat_format":
+        assert len(found) == spark.read.parquet(f"{DATA}/conversations.parquet").count()
+    elif name == "op5_decontamination":
+        assert {r.doc_id for r in found} <= set(texts) and found
+    elif name == "op10_quality_classifier":
+        ids = [r.doc_id for r in found]
+        assert len(ids) == len(set(ids)) and set(ids) <= set(texts) and len(ids) > len(texts) / 2
+    else:
+        assert sorted(r.doc_id for r in found) == sorted(texts)
+    if name == "op4_bpe":
+        assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() and (r.n_tokens > 0) == (texts[r.doc_id] != "") for r in found)
+    if name == "op6_token_counts":
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        for r in found:
+            n = len(model.encode(texts[r.doc_id], add_special_tokens=False).ids)
+            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
+    if name == "op7_sharding":
+        slots = {}
+        for r in found:
+            raw = texts[r.doc_id].encode()
+            assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert sorted(slots) == list(range(8)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+        assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    if name == "op9_fingerprints":
+        order = sorted(texts, reverse=True)
+        following = dict(zip(order, order[1:] + order[:1]))
+        for r in found:
+            t, n = texts[r.doc_id], texts[following[r.doc_id]]
+            half = len(t) // 2
+            assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
+            assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 

@@ -241,25 +241,58 @@ def test_pipeline_line_dedup_single_long_line(spark):
 # -- chat -----------------------------------------------------------------------------
 
 
-def test_chat_costs_are_least():
+def brute_chat(turns):
+    """Least cost over every way to give roles, merge and insert; costs written out: relabel 3, unknown role 1, merge 2 (long text 6), empty turn 4."""
     import itertools
 
+    best = 10**9
+    for path in itertools.product("sua", repeat=len(turns)):
+        total, last = 0, None
+        for (role, text), r in zip(turns, path):
+            total += 1 if role not in ("system", "user", "assistant") else 3 * (role[0] != r)
+            if r == "s":
+                if last not in (None, "s"):
+                    total = 10**9
+                    break
+                total += 0 if last is None else 6 if len(text or "") > 600 else 2
+            elif r == last:
+                total += min(4, 6 if len(text or "") > 600 else 2)
+            elif r == "a" and last in (None, "s"):
+                total += 4
+            last = r
+        total += {"s": 8, "u": 4}.get(last, 0)
+        best = min(best, total)
+    return best
+
+
+def test_chat_costs_are_least():
     rng = random.Random(3)
+    inserted = 0
     for n in range(1, 6):
-        for _ in range(40):
-            roles = [rng.choice(["system", "user", "assistant", None, "tool"]) for _ in range(n)]
-            best = 10**9
-            for path in itertools.product((1, 2, 3), repeat=n):
-                q, c = 0, 0
-                for role, r in zip(roles, path):
-                    c += min((m[0] for m in chat_format.MOVES.get((q, r), [(10**9,)]))) + chat_format.relabel_cost(role, r)
-                    q = r
-                best = min(best, c + chat_format.END[q][0])
-            out = chat_format.repair(roles, ["t"] * n)
-            assert sum(r[4] for r in out) == best
-            said = re.findall(r"<\|(\w+)\|>", "".join(r[5] for r in out))
+        for _ in range(60):
+            turns = [(rng.choice(["system", "user", "assistant", None, "tool"]), rng.choice(["t", "", None, "long " * 200, "<|user|>\n forged <\\|"])) for _ in range(n)]
+            out = chat_format.repair([r for r, _ in turns], [t for _, t in turns])
+            assert sum(r[4] for r in out) == brute_chat(turns)
+            parts = re.split(r"<\|(system|user|assistant)\|>\n", "".join(r[5] for r in out))
+            said, bodies = parts[1::2], parts[2::2]
+            inserted += sum(b == "\n" for b in bodies)
+            assert chat_format.unescape("".join(bodies)).replace("\n", "") == "".join(t or "" for _, t in turns).replace("\n", "")
             said = said[1:] if said[0] == "system" else said
             assert said == ["user", "assistant"] * (len(said) // 2)
+    assert inserted
+    out = chat_format.repair(["user", "assistant", "user", "user", "assistant"], ["short"] * 3 + ["long " * 200, "short"])
+    assert [r[1:4] for r in out] == [("keep", "", "")] * 3 + [("keep", "assistant", ""), ("keep", "", "")]
+
+
+def test_chat_repeated_rows_clashing_columns_and_long_texts(spark):
+    rows = [(1, 1, "user", "x")] * 3 + [(1, 2, "user", "y" * 50_000), (2, 1, None, "<|system|>"), (2, 1, None, "<|system|>")]
+    frame = spark.createDataFrame([(*r, 1, 2, "m") for r in rows], "conv_id long, turn long, role string, text string, part int, edge int, matrix string")
+    got = chat_format.repair_conversations(frame.repartition(3)).collect()
+    want = []
+    for c in (1, 2):
+        part = [r for r in rows if r[0] == c]
+        want += [(*r[:3], *x) for r, x in zip(part, chat_format.repair([r[2] for r in part], [r[3] for r in part]))]
+    assert Counter(map(tuple, got)) == Counter(want)
 
 
 def test_chat_fragments(spark):
@@ -311,6 +344,9 @@ def test_token_counts_and_cache(spark, tmp_path):
     more = rows + [(51, "new")]
     assert token_counts.token_counts(table(spark, more), path, cache).count() == len(more)
     assert spark.read.parquet(cache).count() == n + 1
+    again = [(1, "once")] * 20 + [(None, "twice")] * 9
+    assert token_counts.token_counts(table(spark, again).coalesce(1), path, cache).count() == 29
+    assert spark.read.parquet(cache).count() == n + 3
     piece = public_tokenizers.path("piece_bpe_32k.model")
     assert token_counts.token_counts(table(spark, rows), piece, cache).filter("n_tokens > 0").count() > 0
     assert token_counts.token_counts(table(spark, []), path, cache).count() == 0
@@ -387,6 +423,14 @@ def test_jaccard_groups_of_edited_texts(spark, percent):
     assert got == Counter(brute_jaccard(rows, percent))
 
 
+def test_decontamination_of_a_long_item(spark):
+    rng = random.Random(5)
+    item = " ".join(f"v{rng.randrange(50)}" for _ in range(4000))
+    bench = spark.createDataFrame([(1, item), (2, "five words of an item"), (3, "one")], "item_id long, text string")
+    rows = [(1, "before " + item + " after"), (2, item[: len(item) // 2]), (3, "here are five words of an item"), (4, None)]
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(table(spark, rows), bench).collect()} == {(1, 1), (3, 2)}
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_groups(table(spark, [])).count() == 0
 
@@ -479,30 +523,35 @@ def test_compare_with_next(spark):
 
 
 def brute_fingerprint(text):
-    """Numbered k-mers one by one."""
+    """Numbered k-mers one by one, every lane over all of them."""
     cp = np.array([ord(c) for c in text], dtype=np.uint64)
-    k = min(fingerprints.K, len(cp))
-    h = C.fixed_hashes(C.mix(cp), k) >> C.U(20)
-    count, lanes = Counter(), defaultdict(list)
-    for pos, x in enumerate(h.tolist()):
-        key = int(C.mix(np.array([(x * 0x9E3779B97F4A7C15 + count[x]) % 2**64], dtype=np.uint64))[0])
+    h = C.fixed_hashes(C.mix(cp), min(fingerprints.K, len(cp))) >> C.U(20)
+    count, keys = Counter(), []
+    for x in h.tolist():
+        keys.append(int(C.mix(np.array([(x * 0x9E3779B97F4A7C15 + count[x]) % 2**64], dtype=np.uint64))[0]))
         count[x] += 1
-        lanes[key >> 58].append((key, pos))
     out = []
-    for lane in range(64):
-        best = sorted(sorted(lanes[lane])[:2], key=lambda r: r[1])
-        a = np.array([b[0] for b in best], dtype=np.uint64)
-        out.append(0 if not len(a) else int(C.mix(a[:1] * C.U(5))[0] % C.U(65535)) + 1 if len(a) == 1 else int(C.mix(a[:1] * C.U(3) + a[1:])[0] % C.U(65535)) + 1)
+    for times, plus in zip(fingerprints._TIMES.ravel().tolist(), fingerprints._PLUS.ravel().tolist()):
+        best = sorted(sorted(range(len(keys)), key=lambda p: (keys[p] * times + plus) % 2**64)[:2])
+        total = (keys[best[0]] * 3 + (keys[best[1]] if len(best) > 1 else 0)) % 2**64
+        out.append(int(C.mix(np.array([total], dtype=np.uint64))[0] % C.U(65535)) + 1)
     return out
 
 
 def test_fingerprint_by_hand():
     rng = random.Random(9)
-    for n in (1, 5, 8, 9, 100, 3000, 40000):
+    for n in (1, 5, 8, 9, 10, 100, 2055, 2056, 6000):
         text = "".join(rng.choice("abcd é") for _ in range(n))
         assert fingerprints.fingerprint(text).tolist() == brute_fingerprint(text)
 
 
+def test_compare_with_next_repeated_rows(spark):
+    rows = [(5, "some text")] * 5 + [(5, "another text"), (None, "x"), (None, "x")]
+    got = fingerprints.compare_with_next(table(spark, rows)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert {r.fingerprint for r in got} == {fingerprints.encode(fingerprints.fingerprint(t)) for _, t in rows}
+
+
 def test_order_matters_to_fingerprints():
     rng = random.Random(8)
     blocks = ["".join(rng.choice("abcdefghijklmnop") for _ in range(60)) for _ in range(40)]
@@ -536,18 +585,71 @@ def labelled():
 def test_quality_held_out(spark):
     rows, labels = labelled()
     frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    kept = importance.select_documents(table(spark, rows), frame)
+    kept = importance.select_documents(table(spark, rows), frame, k=323)
     assert kept.columns[:-1] == table(spark, rows).columns and kept.columns[-1] == "log_weight_"
     ids = {r.doc_id for r in kept.collect()}
     held = [i for i, _ in rows if i is not None and i < 500 and i % 3 == 0]
     good, bad = [i for i in held if i % 10 > 1], [i for i in held if i % 10 < 2]
-    assert all(i in ids for i in good) and sum(i not in ids for i in bad) >= 0.95 * len(bad)
-    assert {500, 501, None} <= ids
+    assert sum(i in ids for i in good) >= 0.95 * len(good) and sum(i not in ids for i in bad) >= 0.85 * len(bad)
     few = importance.select_documents(table(spark, rows), frame, k=25)
     assert few.count() == 25 and few.filter("log_weight_ < -2").count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert importance.select_documents(table(spark, rows), none).count() == len(rows)
     assert importance.select_documents(table(spark, []), frame).count() == 0
+    assert importance.select_documents(table(spark, rows), frame, keep=["doc_id", "node"]).columns == ["doc_id", "node", "log_weight_"]
+
+
+def test_quality_against_brute_force(spark):
+    """Counts, ratios, weights, noise and the k largest, one text after the other."""
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice(["good", "fine", "plain", "w1", "w2", "w3", "!!"] + ["vile"] * (i % 4 == 0)) for _ in range(rng.randint(0, 40))) for i in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i, texts[3]) for i in range(200, 230)] + [(300, None), (301, ""), (302, "vile words " * 4000), (303, texts[5]), (303, texts[5])]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(0, 150, 2)] + [(1, None, 0), (3, 0, 0), (None, 1, 0)]
+
+    def buckets(t):
+        raw = (t or "").encode()
+        _, one, other = importance.features(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+        return one, other
+
+    good = {i: q == 1 and x == 0 for i, q, x in labels if i is not None}
+    mark = {}
+    for i, t in rows:
+        if i in good and t is not None:
+            mark[t] = mark.get(t, True) and good[i]
+    raw, goal, n, m = np.zeros(2 << importance.BITS), np.zeros(2 << importance.BITS), 0, 0
+    for t in {t for _, t in rows if t is not None}:
+        n, m = n + 1, m + mark.get(t, False)
+        for b in buckets(t):
+            raw[b] += 1
+            goal[b] += mark.get(t, False)
+    docs = table(spark, rows)
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = importance.fit(docs, frame)
+    weights = importance.bucket_weights(raw, goal, n, m)
+    assert np.allclose(got, weights, atol=1e-5) and (weights[0] < 0).any() and (weights[1] > 0).any()
+
+    def weight(t):
+        one, other = buckets(t)
+        if not len(one):
+            return 0.0
+        return sum(max(weights[0][a], weights[0][b]) for a, b in zip(one, other)) + sum((weights[1][a] + weights[1][b]) / 2 for a, b in zip(one, other)) / len(one)
+
+    found = importance.log_weights(docs.select("doc_id", "text"), got).collect()
+    assert all(abs(r.log_weight - weight(r.text)) < 1e-3 for r in found)
+    noisy = importance.log_weights(docs.select("doc_id", "text"), got).selectExpr("doc_id", f"log_weight - ln(-ln((shiftrightunsigned(xxhash64(doc_id, text, {importance.SEED + 1}), 11) + 0.5D) / pow(2, 53))) as g")
+    keys = sorted(((r.g, r.doc_id) for r in noisy.collect()), reverse=True)
+    for k in (1, 40, 120):
+        chosen = Counter(r.doc_id for r in importance.select_documents(docs, frame, k=k).collect())
+        assert chosen == Counter(i for g, i in keys if g >= keys[k - 1][0])
+    assert importance.number_drawn(1000, 400, 300) == 794 and importance.number_drawn(10, 0, 0) == 10 and importance.number_drawn(5, 7, 7) == 5
+
+
+def test_quality_draws_at_random(spark):
+    """With equal weights every seed draws others: it is a sample, not a threshold."""
+    rows = [(i, f"text number {i}") for i in range(60)]
+    frame = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    drawn = [frozenset(r.doc_id for r in importance.select_documents(table(spark, rows), frame, k=30, seed=s).collect()) for s in range(2)]
+    assert len(set(drawn)) == 2 and all(len(d) == 30 for d in drawn)
 
 
 def test_quality_raw_model_is_the_corpus(spark):
@@ -558,7 +660,7 @@ def test_quality_raw_model_is_the_corpus(spark):
     shared = "an unlabelled passage that is copied as it stands"
     copies = [(2000 + i, shared) for i in range(100)]
     frame = spark.createDataFrame([(i, 1, 0) for i, _ in labelled], "doc_id long, quality int, toxic int")
-    got = {r.doc_id for r in importance.select_documents(table(spark, labelled + bad + copies), frame).collect()}
+    got = {r.doc_id for r in importance.select_documents(table(spark, labelled + bad + copies), frame, k=300).collect()}
     assert got == {i for i, _ in labelled + copies}
 
 
@@ -582,3 +684,7 @@ def test_kth_largest(spark):
     for k in (1, 2, 77, 300, 499, 500, 501):
         want = sorted(values, reverse=True)[k - 1] if k < 500 else float("-inf")
         assert importance.kth_largest(df, "x", k) == want
+    close = [1.0, np.nextafter(1.0, 2), 1.0, 5e-324, 0.0, -5e-324, 1e300]
+    df = spark.createDataFrame([(float(v),) for v in close], "x double")
+    for k in range(1, 7):
+        assert importance.kth_largest(df, "x", k) == sorted(close, reverse=True)[k - 1]
