@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import UNKNOWN_PACKAGES, camel_tokens, dice_similarity
+from ..functions.text import UNKNOWN_PACKAGES, bigrams, camel_tokens, dice_similarity
 
 SIMILAR, NAME_SIMILAR = 0.80, 0.66
 CANDIDATE = ["fqn", "human_string", "id", "kind", "simple_name", "package", "container_fqn", "container_simple", "container_hierarchy", "n_descendants", "param_types"]
@@ -34,15 +34,25 @@ def _same(batches):
     yield from batches
 
 
-def candidates(refs: DataFrame, elements: DataFrame, kinds: list[str], ignore_case: Column | None = None) -> DataFrame:
+def candidates(refs: DataFrame, elements: DataFrame, kinds: list[str], ignore_case: Column | None = None, like: bool = False) -> DataFrame:
     """LNK-1: refs with the elements of these kinds and that name in (fqn, human string, id) order; names are compared exactly, or without case where `ignore_case` holds.
 
-    The join is on the lower-cased name, the exact test follows; the array is as long as a name has elements.
+    The join is on the lower-cased name, the exact test follows; the array is as long as a name has elements.  With `like`,
+    `likest` is the candidate whose fqn is most like the reference's, and how like it is; the bigrams of each fqn are made once, before the join.
     """
-    e = elements.filter(F.col("kind").isin(*kinds)).select(F.lower("simple_name").alias("_key"), F.struct(*CANDIDATE).alias("e"))
+    grams = [bigrams("fqn").alias("_grams")] if like else []
+    e = elements.filter(F.col("kind").isin(*kinds)).select(F.lower("simple_name").alias("_key"), F.struct(*CANDIDATE).alias("e"), *grams)
     loose = F.lit(False) if ignore_case is None else ignore_case
-    pairs = refs.withColumn("_key", F.lower("simple_name")).withColumn("_loose", loose).join(e, "_key").filter(F.col("_loose") | (F.col("simple_name") == F.col("e.simple_name")))
-    found = pairs.groupBy("ref_id").agg(F.array_sort(F.collect_list("e")).alias("potentials"))
+    asked = refs.withColumn("_key", F.lower("simple_name")).withColumn("_loose", loose)
+    if like:
+        asked = asked.withColumn("_own", bigrams("fqn"))
+    pairs = asked.join(e, "_key").filter(F.col("_loose") | (F.col("simple_name") == F.col("e.simple_name")))
+    found = [F.array_sort(F.collect_list("e")).alias("potentials")]
+    if like:
+        total = F.size("_own") + F.size("_grams")
+        score = F.when(F.col("fqn") == F.col("e.fqn"), F.lit(1.0)).otherwise(F.coalesce(F.size(F.array_intersect("_own", "_grams")) * 2.0 / F.nullif(total, F.lit(0)), F.lit(0.0)))
+        found.append(F.min(F.struct((-score).alias("s"), F.col("e"))).alias("likest"))
+    found = pairs.groupBy("ref_id").agg(*found)
     out = refs.join(found, "ref_id", "left")
     none = F.array().cast(found.schema["potentials"].dataType)
     return out.withColumn("potentials", F.coalesce("potentials", none)).withColumn("trace", F.array().cast("array<struct<name:string,activated:boolean,size:int>>")).withColumn("context_done", F.lit(False))
@@ -72,16 +82,32 @@ def _qualified(c: str = "container") -> Column:
     return F.coalesce(F.instr(F.col(c), ".") > 0, F.lit(False))
 
 
+def _filtered(df: DataFrame, filters: DataFrame, fqn: Column, simple: Column, name: str, member: bool = False) -> DataFrame:
+    """df with a column that says whether a filter names the fqn, or a bare name by its simple name, and its flags allow that (for a member, include_member too)."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in filters.columns else F.lit(False)
+    flags = F.struct(flag("include_snippet").alias("snippet"), flag("one_ref_only").alias("one"), flag("include_member").alias("member"))
+    f = filters.select(F.lower("fqn").alias("_f"), F.lower(F.substring_index("fqn", ".", -1)).alias("_s"), flags.alias("_flags"))
+    by_fqn = f.groupBy("_f").agg(F.max("_flags").alias("_a"))
+    by_name = f.groupBy("_s").agg(F.collect_set("_flags").alias("_c"))  # eight sets of flags at most
+    df = df.withColumn("_f", F.lower(fqn)).withColumn("_s", F.when(fqn == simple, F.lower(simple))).join(by_fqn, "_f", "left").join(by_name, "_s", "left")
+    allowed = lambda x: (x["member"] if member else F.lit(True)) & (~F.col("in_snippet") | x["snippet"]) & (~x["one"] | F.col("single_ref"))
+    hit = (F.col("_a").isNotNull() & F.coalesce(allowed(F.col("_a")), F.lit(False))) | F.coalesce(F.exists("_c", allowed), F.lit(False))
+    return df.withColumn(name, hit).drop("_f", "_s", "_a", "_c")
+
+
 def custom_class_filter(df: DataFrame, filters: DataFrame) -> DataFrame:
     """FLT-1: rejects a reference whose fqn is filtered, or whose bare name is a filtered simple name, as the filter's flags for snippets and single references allow."""
-    f = filters.select(F.lower("fqn").alias("_f"), F.lower(F.substring_index("fqn", ".", -1)).alias("_s"), "include_snippet", "one_ref_only")
-    by_fqn = f.groupBy("_f").agg(F.max("include_snippet").alias("_a"), F.min("one_ref_only").alias("_b"))
-    by_name = f.groupBy("_s").agg(F.max("include_snippet").alias("_c"), F.min("one_ref_only").alias("_d"))
-    df = df.withColumn("_f", F.lower("fqn")).withColumn("_s", F.when(F.col("fqn") == F.col("simple_name"), F.lower("simple_name"))).join(by_fqn, "_f", "left").join(by_name, "_s", "left")
-    applies = lambda snippet, one: snippet.isNotNull() & (~F.col("in_snippet") | snippet) & (~one | F.col("single_ref"))
-    hit = applies(F.col("_a"), F.col("_b")) | applies(F.col("_c"), F.col("_d"))
-    hit = F.coalesce(hit, F.lit(False))
-    return apply_filter(df, "custom_class", F.when(hit, _empty(F.col("potentials"))).otherwise(F.col("potentials")), hit, may_empty=True).drop("_f", "_s", "_a", "_b", "_c", "_d")
+    df = _filtered(df, filters, F.col("fqn"), F.col("simple_name"), "_hit")
+    return apply_filter(df, "custom_class", F.when(F.col("_hit"), _empty(F.col("potentials"))).otherwise(F.col("potentials")), F.col("_hit"), may_empty=True).drop("_hit")
+
+
+def custom_member_filter(df: DataFrame, filters: DataFrame) -> DataFrame:
+    """FLT-3: rejects a member whose name is that of a filter that includes members, or whose stated container is filtered as FLT-1 has it."""
+    own = _filtered(df, filters, F.col("simple_name"), F.col("simple_name"), "_hit", member=True)
+    container = F.trim("container")
+    both = _filtered(own, filters, container, F.substring_index(container, ".", -1), "_hold")
+    hit = F.col("_hit") | ((F.length(F.coalesce(container, F.lit(""))) > 0) & F.col("_hold"))
+    return apply_filter(both, "custom_member", F.when(hit, _empty(F.col("potentials"))).otherwise(F.col("potentials")), hit, may_empty=True).drop("_hit", "_hold")
 
 
 def fqn_case_filter(df: DataFrame) -> DataFrame:
@@ -191,44 +217,57 @@ def strict_filter(df: DataFrame) -> DataFrame:
 
 def link_classes(refs: DataFrame, elements: DataFrame, filters: DataFrame, kinds: list[str]) -> DataFrame:
     """LNK-5, LNK-6: candidates of a type; by likeness of the fqn where it is known, the first alone if it is at least .8 like it; then FLT-1, FLT-2."""
-    df = candidates(refs, elements, kinds, ~F.col("in_snippet") & (F.col("source") != "d"))
+    df = candidates(refs, elements, kinds, ~F.col("in_snippet") & (F.col("source") != "d"), like=True)
     unknown = (F.col("fqn") == F.col("simple_name")) | placeholder()
-    scored = F.transform("potentials", lambda e, i: F.struct((-F.coalesce(dice_similarity(F.col("fqn"), e["fqn"]), F.lit(0.0))).alias("s"), i.alias("i"), e.alias("e")))
-    ordered = F.array_sort(scored)
-    best = F.get(ordered, F.lit(0))
-    first = F.concat(F.array(best["e"]), F.transform(F.filter(scored, lambda x: x["i"] != best["i"]), lambda x: x["e"]))
+    best = F.col("likest")
+    first = F.concat(F.array(best["e"]), F.filter("potentials", lambda e: e["id"] != best["e"]["id"]))
     chosen = F.when(-best["s"] >= SIMILAR, F.array(best["e"])).otherwise(first)
-    df = df.withColumn("potentials", F.when(unknown | (F.size("potentials") < 2), F.col("potentials")).otherwise(chosen))
+    df = df.withColumn("potentials", F.when(unknown | (F.size("potentials") < 2), F.col("potentials")).otherwise(chosen)).drop("likest")
     return fqn_case_filter(custom_class_filter(df, filters))
 
 
-def link_methods(refs: DataFrame, elements: DataFrame, contexts: list[str] = ()) -> DataFrame:
+def _no_filters(refs: DataFrame) -> DataFrame:
+    return refs.sparkSession.createDataFrame([], "fqn string, include_snippet boolean, one_ref_only boolean, include_member boolean")
+
+
+def link_methods(refs: DataFrame, elements: DataFrame, contexts: list[str] = (), filters: DataFrame | None = None) -> DataFrame:
     """LNK-10: the method chain over candidates; `contexts` are array columns of refs, nearest first, as context_columns gives them."""
-    df = candidates(refs, elements, ["method"])
-    for step in (object_methods_filter, exception_filter, parameter_number_filter, parameter_type_filter, immediate_context_filter):
-        df = step(df)
-    df = immediate_context_filter(df, hierarchy=True)
+    filters = _no_filters(refs) if filters is None else filters
+    df = fqn_case_filter(exception_filter(object_methods_filter(candidates(refs, elements, ["method"]))))
+    df = parameter_type_filter(parameter_number_filter(custom_member_filter(df, filters)))
+    df = immediate_context_filter(immediate_context_filter(df), hierarchy=True)
     for c in contexts:
         df = context_filter(df, c, c)
     return strict_filter(abstract_type_filter(unique_hierarchy_filter(name_similarity_filter(df))))
 
 
-def link_fields(refs: DataFrame, elements: DataFrame, contexts: list[str] = ()) -> DataFrame:
-    """LNK-12."""
-    df = immediate_context_filter(immediate_context_filter(candidates(refs, elements, ["field", "enumeration value", "annotation field"])), hierarchy=True)
+def link_fields(refs: DataFrame, elements: DataFrame, contexts: list[str] = (), filters: DataFrame | None = None) -> DataFrame:
+    """LNK-12: the field chain."""
+    filters = _no_filters(refs) if filters is None else filters
+    df = fqn_case_filter(exception_filter(candidates(refs, elements, ["field", "enumeration value", "annotation field"])))
+    df = immediate_context_filter(immediate_context_filter(custom_member_filter(df, filters)), hierarchy=True)
     for c in contexts:
         df = context_filter(df, c, c)
-    return abstract_type_filter(name_similarity_filter(df))
+    return strict_filter(abstract_type_filter(name_similarity_filter(df)))
 
 
-def link_generic(refs: DataFrame, elements: DataFrame, filters: DataFrame) -> DataFrame:
+def link_generic(refs: DataFrame, elements: DataFrame, filters: DataFrame, contexts: list[str] = ()) -> DataFrame:
     """LNK-14: references of unknown kind: as a class, else as a method, else as a field; each step sees what the ones before left."""
     unknown = refs.filter("kind_hint = 'unknown'")
     classes = link_classes(unknown, elements, filters, ["class", "annotation", "enumeration"]).filter(F.size("potentials") > 0)
     rest = unknown.join(classes.select("ref_id"), "ref_id", "left_anti")
-    methods = link_methods(rest, elements).filter(F.size("potentials") > 0)
+    methods = link_methods(rest, elements, contexts, filters).filter(F.size("potentials") > 0)
     rest = rest.join(methods.select("ref_id"), "ref_id", "left_anti")
-    return classes.unionByName(methods).unionByName(link_fields(rest, elements).filter(F.size("potentials") > 0))
+    return classes.unionByName(methods).unionByName(link_fields(rest, elements, contexts, filters).filter(F.size("potentials") > 0))
+
+
+def select_references(refs: DataFrame, source: str | None = None, local_id: int | None = None, allowed: DataFrame | None = None, level: str = "global_id") -> DataFrame:
+    """LNK-2, LNK-3: references of a source, of one local context, and of contexts (at a level) that an allow-list of ids holds."""
+    if source is not None:
+        refs = refs.filter(F.col("source") == source)
+    if local_id is not None:
+        refs = refs.filter(F.col("local_id") == local_id)
+    return refs if allowed is None else refs.join(allowed.select(F.col("id").alias(level)).distinct(), level, "left_semi")
 
 
 def links_of(linked: DataFrame, linker: str) -> DataFrame:
@@ -259,11 +298,28 @@ def context_types_hierarchy(types: DataFrame, context: str, hierarchy: DataFrame
     return rows.groupBy(context, "source").agg(F.sort_array(F.collect_set("member")).alias(f"{context}_types"))
 
 
-def context_columns(refs: DataFrame, links: DataFrame, levels: list[str]) -> DataFrame:
-    """CTX-7: refs with an array of linked types for every level; empty where a reference has none."""
-    for level in levels:
-        refs = refs.join(context_types(links, level), [level, "source"], "left").withColumn(f"{level}_types", F.coalesce(f"{level}_types", F.array().cast("array<string>")))
-    return refs
+#: Levels of context, nearest first, and whether what linked methods return counts there.
+LEVELS = [("snippet_id", True), ("local_id", True), ("mid_id", False), ("global_id", False)]
+
+
+def context_columns(refs: DataFrame, links: DataFrame, hierarchy: DataFrame) -> tuple[DataFrame, list[str]]:
+    """CTX-4..7: refs with an array of linked types for each of the twelve variants of FLT-10, and the columns' names, nearest first; a level that refs lack is left out.
+
+    At a level: types linked, those with their hierarchies, types returned by linked methods, those with hierarchies; empty where a reference has none.
+    links: the levels' columns, source, index, element_fqn, is_type, return_fqn.  hierarchy: node, member.
+    """
+    names = []
+    returned = links.filter("return_fqn IS NOT NULL").withColumn("element_fqn", F.col("return_fqn")).withColumn("is_type", F.lit(True))
+    for level, returns in LEVELS:
+        if level not in refs.columns:
+            continue
+        for rows, what in ((links, "types"), (returned, "returns"))[: 1 + returns]:
+            own = context_types(rows, level)
+            for table, kind in ((own, what), (context_types_hierarchy(own, level, hierarchy), f"{what}_hierarchy")):
+                name = f"{level.removesuffix('_id')}_{kind}"
+                refs = refs.join(table.withColumnRenamed(f"{level}_types", name), [level, "source"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+                names.append(name)
+    return refs, names
 
 
 def package_frequency(links: DataFrame, context: str) -> DataFrame:

@@ -125,19 +125,34 @@ def code_diff(w: Workspace, old: str, new: str) -> DataFrame:
     return w.write("codebase_diff", codediff.diff_sizes(side(old), side(new)))
 
 
-def link_code(w: Workspace, linker: str, codebase: str, refs: DataFrame) -> DataFrame:
-    """One linker over refs as `linking` takes them; its links replace those it made before."""
+def _contexts(w: Workspace, e: DataFrame, codebase: str, refs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """refs with the types linked so far in their contexts (CTX-4..7)."""
+    levels = [c for c, _ in linking.LEVELS if c in refs.columns]
+    types = e.filter(F.col("kind").isin("class", "annotation", "enumeration"))
+    named = types.select("fqn", F.col("fqn").alias("said")).unionByName(types.select("fqn", F.col("simple_name").alias("said"))).groupBy("said").agg(F.min("fqn").alias("return_fqn"))
+    linked = w.read("code_element_link").select("ref_id", "index", F.col("element_id").alias("id")).join(refs.select("ref_id", "source", *levels), "ref_id")
+    about = e.select("id", F.col("fqn").alias("element_fqn"), F.col("kind").isin("class", "annotation", "enumeration").alias("is_type"), F.col("return_type").alias("said")).join(named, "said", "left")
+    edges = w.read("type_parents").filter(F.col("codebase") == codebase) if w.has("type_parents") else w.spark.createDataFrame([], "child string, parent string")
+    around = graph.hierarchy(types.select(F.col("fqn").alias("node")).distinct(), edges)
+    return linking.context_columns(refs, graph.checkpointed(linked.join(about, "id")), graph.checkpointed(around))
+
+
+def link_code(w: Workspace, linker: str, codebase: str, refs: DataFrame, source: str | None = None, local_id: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """One linker over refs as `linking` takes them (with columns of linking.LEVELS their contexts count); its links replace those it made before."""
     e = w.read("elements").filter(F.col("codebase") == codebase)
     f = w.read("code_element_filter").filter(F.col("codebase") == codebase)
+    refs, contexts = linking.select_references(refs, source, local_id, allowed), []
+    if linker != "class" and any(c in refs.columns for c, _ in linking.LEVELS):
+        refs, contexts = _contexts(w, e, codebase, refs)
     of = lambda *k: refs.filter(F.col("kind_hint").isin(*k))
     if linker == "class":
         out = linking.link_classes(of("class", "annotation", "enumeration"), e, f, ["class", "annotation", "enumeration"])
     elif linker == "field":
-        out = linking.link_fields(of("field", "enumeration value", "annotation field"), e)
+        out = linking.link_fields(of("field", "enumeration value", "annotation field"), e, contexts, f)
     elif linker == "method":
-        out = linking.link_methods(of("method"), e)
+        out = linking.link_methods(of("method"), e, contexts, f)
     elif linker == "generic":
-        out = linking.link_generic(refs, e, f)
+        out = linking.link_generic(refs, e, f, contexts)
     else:
         raise ValueError(f"no linker {linker}")
     links = linking.links_of(out, linker).withColumnRenamed("linker", "linker_name")

@@ -193,16 +193,16 @@ def remove_recommendations(spark, d):
     return recommend.removals(linked, old, new, edges).select("id", "reason")
 
 
-@query(f"""WITH {_LINKS}, k AS (SELECT DISTINCT supplier, element, context, global_context FROM l WHERE year = 1997),
-n AS (SELECT supplier, count(DISTINCT element) AS n FROM k GROUP BY ALL),
-s AS (SELECT supplier, 'section' AS level, context AS place, count(DISTINCT element) / n::DOUBLE AS share FROM k JOIN n USING (supplier) GROUP BY supplier, context, n HAVING count(DISTINCT element) / n::DOUBLE > 0.75),
-p AS (SELECT supplier, 'page' AS level, global_context AS place, count(DISTINCT element) / n::DOUBLE AS share FROM k JOIN n USING (supplier) WHERE supplier NOT IN (SELECT supplier FROM s) GROUP BY supplier, global_context, n HAVING count(DISTINCT element) / n::DOUBLE > 0.75),
+@query(f"""WITH {_LINKS}, k AS (SELECT DISTINCT year, supplier, element, context, global_context FROM l),
+n AS (SELECT year, supplier, count(DISTINCT element) AS n FROM k GROUP BY ALL),
+s AS (SELECT year, supplier, 'section' AS level, context AS place, count(DISTINCT element) / n::DOUBLE AS share FROM k JOIN n USING (year, supplier) GROUP BY year, supplier, context, n HAVING count(DISTINCT element) / n::DOUBLE > 0.75),
+p AS (SELECT year, supplier, 'page' AS level, global_context AS place, count(DISTINCT element) / n::DOUBLE AS share FROM k JOIN n USING (year, supplier) ANTI JOIN s USING (year, supplier) GROUP BY year, supplier, global_context, n HAVING count(DISTINCT element) / n::DOUBLE > 0.75),
 f AS (SELECT * FROM s UNION ALL SELECT * FROM p)
-SELECT supplier, level, place, round(share, 6) AS share FROM f UNION ALL SELECT supplier, 'multi_page', NULL, NULL FROM n WHERE supplier NOT IN (SELECT supplier FROM f)""")
+SELECT year, supplier, level, place, round(share, 6) AS share FROM f UNION ALL SELECT year, supplier, 'multi_page', NULL, NULL FROM n ANTI JOIN f USING (year, supplier)""")
 def pattern_locations(spark, d):
     """COV-7"""
-    k = D.links(spark, d).filter("year = 1997").select("supplier", F.col("element").alias("member"), F.col("context").alias("section"), F.col("global_context").alias("page"))
-    return patterns.locations(k, ["supplier"]).withColumn("share", F.round("share", 6))
+    k = D.links(spark, d).select(F.col("year").cast("long"), "supplier", F.col("element").alias("member"), F.col("context").alias("section"), F.col("global_context").alias("page"))
+    return patterns.locations(k, ["year", "supplier"]).withColumn("share", F.round("share", 6))
 
 
 @query(None)
@@ -217,8 +217,8 @@ def combined_coverage(spark, d):
 @query(None)
 def super_recommendations(spark, d):
     """REC-6: greedy, hence not SQL."""
-    side = D.links(spark, d).filter("year = 1996").groupBy("supplier", "quarter").agg(F.sort_array(F.collect_set("element")).alias("members"))
-    return recommend.super_recommendations(side.select("quarter", F.col("supplier").alias("rec"), "members"), ["quarter"])
+    side = D.links(spark, d).groupBy("year", "supplier", "quarter").agg(F.sort_array(F.collect_set("element")).alias("members"))
+    return recommend.super_recommendations(side.select("year", "quarter", F.col("supplier").alias("rec"), "members"), ["year", "quarter"])
 
 
 # -- diffs --------------------------------------------------------------------------
@@ -264,13 +264,14 @@ def word_count_changes(spark, d):
 
 @query(None)
 def page_title_match(spark, d):
-    """DOC-1, 2, 4, 8: title pages of a language against those of another host of it (difflib ratios aren't SQL)."""
+    """DOC-1, 2, 4, 8: title pages of a language against those of the next host of it, com to net to org (difflib ratios aren't SQL)."""
     from ..sources import html
 
     p = html.page_heads(D.table(spark, d, "pages"), "page_id", "html")
     p = p.join(D.table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"/(\w\w)/\d", 1).alias("lang"), F.regexp_extract("url", r"example\.(\w+)", 1).alias("host")), "page_id")
-    side = lambda h: p.filter(F.col("host") == h).select(F.col("lang").alias("document"), F.col("page_id").alias("id"), "title")
-    old, new = side("com"), side("net")
+    follows = F.when(F.col("host") == "com", "net").when(F.col("host") == "net", "org").otherwise("com")
+    side = lambda host: p.select(F.concat_ws(" ", "lang", host).alias("document"), F.col("page_id").alias("id"), "title")
+    old, new = side(follows), side(F.col("host"))
     return docdiff.match(old, new, docdiff.score_pages(old, new))
 
 
@@ -352,11 +353,12 @@ def toc_view(spark, d):
     return channel.toc_view(e, ["user_id"])
 
 
-@query("SELECT event_id AS entry FROM events WHERE event_id >= 100 AND event_id < 700 AND event_type = 'error'")
+@query("SELECT event_id AS entry FROM events WHERE event_type = 'error'")
 def toc_to_download(spark, d):
-    """SRC-14"""
+    """SRC-14, from the first entry to the last"""
     e = D.table(spark, d, "events").select(F.col("event_id").alias("entry"), (F.col("event_type") != "error").alias("downloaded"))
-    return channel.to_download(e, 100, 700).select("entry")
+    first, last = e.agg(F.min("entry"), F.max("entry")).first()
+    return channel.to_download(e, first or 0, (last or 0) + 1).select("entry")
 
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-05'")

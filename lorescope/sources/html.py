@@ -265,19 +265,20 @@ def avoided(url: str, prefixes: list[str] = (), suffixes: tuple[str, ...] = AVOI
     return out
 
 
-def crawl(seeds: DataFrame, links: DataFrame, prefixes: list[str], avoid: list[str] = (), most: int = 1000) -> DataFrame:
+def crawl(seeds: DataFrame, links: DataFrame, prefixes: list[str], avoid: list[str] = ()) -> DataFrame:
     """SRC-1 over downloaded pages: url, depth of what can be reached from the seeds (url) by links (url, target) inside the scope, by rounds of a frontier against an anti join."""
     from ..operators.graph import checkpointed
 
     good = links.filter(in_scope("target", prefixes) & ~avoided("target", avoid)).select("url", F.regexp_replace("target", "#.*$", "").alias("target")).distinct()
     seen = checkpointed(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, most):
+    depth = 0
+    while True:  # each round finds pages that weren't seen, or ends
+        depth += 1
         front = seen.filter(F.col("depth") == depth - 1).select("url").join(good, "url").select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti")
         front = checkpointed(front.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
+            return seen
         seen = checkpointed(seen.unionByName(front))
-    return seen
 
 
 _SECTION = "position int, tag string, title string, number string, xpath string, word_count int"

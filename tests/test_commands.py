@@ -20,9 +20,13 @@ def test_workspace(spark, tmp_path):
     sizes = {r.what: (r.added, r.removed) for r in K.code_diff(w, "old", "new").collect()}
     assert sizes["package"] == (1, 0) and sizes["method"] == (1, 1) and sizes["type"] == (0, 0)
     K.add_a_filter(w, "old", "b.Tag")
-    r = refs(spark, [dict(kind_hint="class", simple_name="Dog"), dict(kind_hint="class", simple_name="Tag"), dict(simple_name="bark", container="Dog"), dict(kind_hint="unknown", simple_name="Animal"), dict(kind_hint="field", simple_name="MAX_AGE")]).withColumn("local_id", F.lit(1))
+    r = refs(spark, [dict(kind_hint="class", simple_name="Dog"), dict(kind_hint="class", simple_name="Tag"), dict(simple_name="bark", container="Dog"), dict(kind_hint="unknown", simple_name="Animal"), dict(kind_hint="field", simple_name="MAX_AGE"), dict(simple_name="bark"), dict(simple_name="bark")]).withColumn("local_id", F.when(F.col("ref_id") == 6, 2).otherwise(1).cast("long"))
     links = K.link_all(w, "old", r)
-    assert sorted((x.ref_id, x.linker_name) for x in links.filter("index = 0").collect()) == [(0, "class"), (2, "method"), (3, "generic"), (4, "field")]
+    assert sorted((x.ref_id, x.linker_name) for x in links.filter("index = 0").collect()) == [(0, "class"), (2, "method"), (3, "generic"), (4, "field"), (5, "method")]
+    only = K.link_code(w, "method", "old", r, local_id=2)  # nothing is linked in that context, and the name says too little
+    assert only.filter("linker_name = 'method'").count() == 0
+    some = K.link_code(w, "method", "old", r.withColumn("global_id", F.lit(9).cast("long")), allowed=spark.createDataFrame([(9,)], "id long"))
+    assert {x.ref_id for x in some.filter("linker_name = 'method'").collect()} == {2, 5, 6}  # the global context speaks for the last one
     assert K.compute_patterns(w, "old").count() > 5
     e = w.read("elements").filter("codebase = 'old' and kind = 'method'").select(F.lit(1).cast("long").alias("resource_id"), F.lit("d").alias("source"), F.col("id").alias("member"))
     assert K.compute_doc_coverage(w, e).filter("coverage = 1").count() > 0

@@ -165,6 +165,35 @@ def test_method_linker(spark, models):
     assert names(links.filter("first_link"), "ref_id") == [(0,), (4,), (5,)]
 
 
+def test_member_filters(spark, models):
+    filters = spark.createDataFrame([("java.util.List", True, False, False), ("bark", True, True, True), ("a.Dog", False, False, True)], "fqn string, include_snippet boolean, one_ref_only boolean, include_member boolean")
+    r = refs(spark, [
+        dict(simple_name="eat", container="java.util.List"), dict(simple_name="eat", container="list"), dict(simple_name="bark", container="Canine"), dict(simple_name="bark", container="Canine", single_ref=False),
+        dict(simple_name="eat", container="a.Dog", in_snippet=True), dict(simple_name="eat", container="a.Dog"), dict(simple_name="Eat", fqn="a.dog.Eat"),
+    ])
+    got = {x.ref_id: ([p.fqn for p in x.potentials], active(x)) for x in linking.link_methods(r, models["old"][1], (), filters).collect()}
+    assert [got[i] == ([], ["custom_member"]) for i in range(7)] == [True, True, True, False, False, True, False]
+    assert got[4][0] == ["a.Dog.eat"] and got[6] == ([], [])
+    f = refs(spark, [dict(kind_hint="field", simple_name="MAX_AGE", container="java.util.List"), dict(kind_hint="field", simple_name="MAX_AGE", container="a.dog"), dict(kind_hint="field", simple_name="MAX_AGE"), dict(kind_hint="field", simple_name="MAX_AGE", container="SomeException")])
+    got = {x.ref_id: ([p.fqn for p in x.potentials], active(x)) for x in linking.link_fields(f, models["old"][1], (), filters.limit(1)).collect()}
+    assert got[0] == ([], ["custom_member"]) and got[1][0] == ["a.Dog.MAX_AGE"] and got[2] == ([], ["strict"]) and got[3] == ([], ["exception"])
+
+
+def test_contexts(spark, models):
+    """FLT-10: the nearest level that speaks decides; types, their hierarchies, returned types, their hierarchies."""
+    e = models["old"][1]
+    links = spark.createDataFrame([(None, 1, 5, "s", 0, "a.Dog", True, None), (None, 2, 5, "s", 0, "a.Canine", True, None), (7, 3, 6, "s", 0, "x.M.m", False, "a.Dog"), (None, 4, 9, "s", 1, "a.Dog", True, None)], "snippet_id long, local_id long, global_id long, source string, index int, element_fqn string, is_type boolean, return_fqn string")
+    around = spark.createDataFrame([("a.Dog", "a.Dog"), ("a.Canine", "a.Canine"), ("a.Canine", "a.Dog")], "node string, member string")
+    r = refs(spark, [dict(simple_name="eat"), dict(simple_name="eat"), dict(simple_name="eat"), dict(simple_name="eat"), dict(simple_name="eat", source="d")])
+    r = r.join(spark.createDataFrame([(0, None, 1, 5), (1, None, 2, 8), (2, 7, 8, 8), (3, None, 8, 5), (4, None, 1, 5)], "ref_id long, snippet_id long, local_id long, global_id long"), "ref_id")
+    with_types, names_ = linking.context_columns(r, links, around)
+    assert names_ == ["snippet_types", "snippet_types_hierarchy", "snippet_returns", "snippet_returns_hierarchy", "local_types", "local_types_hierarchy", "local_returns", "local_returns_hierarchy", "global_types", "global_types_hierarchy"]
+    e = e.filter("container_fqn = 'a.Dog' or kind <> 'method'")
+    got = {x.ref_id: ([p.fqn for p in x.potentials], [a for a in active(x) if a in names_]) for x in linking.link_methods(with_types, e, names_).collect()}
+    assert {i: g[1] for i, g in got.items()} == {0: ["local_types"], 1: ["local_types_hierarchy"], 2: ["snippet_returns"], 3: ["global_types"], 4: []}
+    assert [got[i][0] for i in range(5)] == [["a.Dog.eat"]] * 4 + [[]]
+
+
 def test_parameter_filters(spark):
     e = spark.createDataFrame([(i, "method", "go", "T.go", f"T.go{i}", "p", "p.T", "T", ["p.T"], 0, t) for i, t in enumerate([["java.lang.String"], ["int", "int"], ["java.lang.String", "p.Foo"]])], "id long, kind string, simple_name string, fqn string, human_string string, package string, container_fqn string, container_simple string, container_hierarchy array<string>, n_descendants int, param_types array<string>")
     r = refs(spark, [dict(simple_name="go", arg_types=["java.lang.String"]), dict(simple_name="go", arg_types=["java.lang.String", "p.Foo"]), dict(simple_name="go"), dict(simple_name="go", arg_types=["p", "q", "r"])])
