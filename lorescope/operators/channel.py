@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import original_title
+from .graph import checkpointed
 
 TITLE_CHARS, MAX_LINES = 500, 500
 #: Beginnings of lines that carry no content (CH-3).
@@ -76,8 +77,17 @@ def assign_threads(messages: DataFrame, channel: str = "channel", title: str = "
 
 
 def index_threads(messages: DataFrame, order: tuple[str, ...] = ("msg_date", "message_id")) -> DataFrame:
-    """CH-12: message_index from 0 by date within each thread."""
-    return messages.withColumn("message_index", F.row_number().over(Window.partitionBy("thread_id").orderBy(*order)) - 1)
+    """CH-12: message_index from 0 by date within each thread.
+
+    Messages are sorted by ranges of (thread, date), so a thread that a third of all messages belong to is spread over
+    partitions; an index is the number of the thread's messages in the ranges before, plus the rank in its own.
+    """
+    ranged = checkpointed(messages.repartitionByRange("thread_id", *order).withColumn("_part", F.spark_partition_id()))
+    own = ["thread_id", "_part"]
+    ahead = Window.partitionBy("thread_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a thread
+    before = ranged.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).select(*own, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy(*order)) - 1
+    return ranged.withColumn("_rank", rank).join(before, own).withColumn("message_index", (F.col("_before") + F.col("_rank")).cast("int")).drop("_part", "_rank", "_before")
 
 
 def thread_table(messages: DataFrame) -> DataFrame:

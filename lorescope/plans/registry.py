@@ -468,13 +468,20 @@ def remove_page(spark, d):
 # -- extraction: greedy over spans, hence not SQL ---------------------------------------------
 
 
-@query(None)
+@query("""WITH p AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part), q AS (SELECT id, a, b, upper(a[1]) || a[2:] AS x, upper(b[1]) || b[2:] AS y FROM p),
+r AS (SELECT id, unnest([
+  {'content': 'com.' || x || y || '.get' || y || '(1, "red")', 'kind': 'class', 'parent': NULL, 'child_index': 0, 'index': 0}, {'content': 'com.' || x || y || '.get' || y || '(1, "red")', 'kind': 'method', 'parent': 0, 'child_index': 1, 'index': 0},
+  {'content': upper(a) || '_' || upper(b), 'kind': 'field', 'parent': NULL, 'child_index': 0, 'index': 1}, {'content': '@' || x || 'Tag', 'kind': 'annotation', 'parent': NULL, 'child_index': 0, 'index': 2},
+  {'content': a || y || '()', 'kind': 'method', 'parent': NULL, 'child_index': 0, 'index': 3}, {'content': x || y, 'kind': 'class', 'parent': NULL, 'child_index': 0, 'index': 4}]) AS f FROM q)
+SELECT id, f.content, f.kind, f.parent::INTEGER AS parent, f.child_index::INTEGER AS child_index, f.index::INTEGER AS index FROM r""")
 def text_references(spark, d):
-    """EXT-1..12, CH-6: code-like terms of every turn"""
+    """EXT-1..12, CH-6: code-like terms of a sentence that names every part as a class, its call, a constant, an annotation and a method"""
     from ..functions.extract import explode_references
 
-    c = D.table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return explode_references(c, "text").select("conv_id", "turn", "content", "kind", "parent", "child_index", "index")
+    words = D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), *[F.split("p_name", " ")[i].alias(c) for i, c in enumerate("ab")])
+    x, y = F.initcap("a"), F.initcap("b")
+    text = F.concat(F.lit("Call com."), x, y, F.lit(".get"), y, F.lit('(1, "red") on '), F.upper("a"), F.lit("_"), F.upper("b"), F.lit(" or @"), x, F.lit("Tag; see "), F.col("a"), y, F.lit("() and "), x, y, F.lit("."))
+    return explode_references(words.select("id", text.alias("text")), "text").select("id", "content", "kind", "parent", "child_index", "index")
 
 
 @query(None)

@@ -297,6 +297,17 @@ def sections(pages: DataFrame, key: str, html: str, config: ParserConfig) -> Dat
     return _rows(pages, key, html, rows, _SECTION)
 
 
+#: Index of references that stand in a title.
+TITLE_INDEX = -100_000
+
+
+def title_references(found: DataFrame, title: str = "title") -> DataFrame:
+    """HTM-21: code-like terms of section titles, all at TITLE_INDEX, with the section's own columns; a title without any has none."""
+    from ..functions.extract import explode_references
+
+    return explode_references(found, title).withColumn("index", F.lit(TITLE_INDEX))
+
+
 def numbered_parents(found: DataFrame, key: str) -> DataFrame:
     """HTM-12: the section of the page whose number is this one's prefix, with a dot at its end or without."""
     cut = F.regexp_replace("number", r"\d+\.?$", "")

@@ -216,6 +216,23 @@ def test_links_through_returns(spark):
     assert names(messages.link_by_returns(r, seeds).filter("ref_id = 3"), "element_id") == [(21,)]
 
 
+def test_title_references(spark):
+    from lorescope.sources import html
+
+    rows = [(1, "Using com.Dog.eat() and MAX_AGE"), (2, "Plain words"), (3, None)]
+    got = html.title_references(spark.createDataFrame(rows, "position int, title string")).collect()
+    assert [(r.position, r.content, r.kind, r.index) for r in got] == [(1, "com.Dog.eat()", "class", -100000), (1, "com.Dog.eat()", "method", -100000), (1, "MAX_AGE", "field", -100000)]
+
+
+def test_thread_index_of_a_hot_thread(spark):
+    rows = [(t, (i * 7) % 300, i) for i in range(300) for t in ([1] if i % 3 else [1, 2])] + [(3, None, 0)]
+    m = spark.createDataFrame(rows, "thread_id long, msg_date long, message_id long").repartition(5)
+    got = {(r.thread_id, r.msg_date, r.message_id): r.message_index for r in channel.index_threads(m).collect()}
+    for t in (1, 2, 3):
+        own = sorted((r for r in rows if r[0] == t), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r] for r in own] == list(range(len(own)))
+
+
 # -- pages and channels -----------------------------------------------------------------
 
 PAGE = """<html><head><title>My  Guide</title><script>var x = "<p>";</script></head><body><!-- no -->
