@@ -221,7 +221,7 @@ def test_title_references(spark):
 
     rows = [(1, "Using com.Dog.eat() and MAX_AGE"), (2, "Plain words"), (3, None)]
     got = html.title_references(spark.createDataFrame(rows, "position int, title string")).collect()
-    assert [(r.position, r.content, r.kind, r.index) for r in got] == [(1, "com.Dog.eat()", "class", -100000), (1, "com.Dog.eat()", "method", -100000), (1, "MAX_AGE", "field", -100000)]
+    assert [(r.position, r.content, r.kind, r["index"]) for r in got] == [(1, "com.Dog.eat()", "class", -100000), (1, "com.Dog.eat()", "method", -100000), (1, "MAX_AGE", "field", -100000)]
 
 
 def test_thread_index_of_a_hot_thread(spark):
