@@ -104,3 +104,31 @@ def test_pipeline(spark):
             assert docs.columns == columns
     assert docs.filter("n_tokens = 0").count() == 0
     assert sorted(map(tuple, P.run(spark, DATA).select("doc_id", "ids_sha256").collect())) == sorted(map(tuple, docs.select("doc_id", "ids_sha256").collect()))
+
+
+def test_pipeline_of_awkward_documents(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and one id with two texts go through every stage; what goes is known."""
+    import random
+
+    import corpus_pipeline as P
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    leak, line = prose(40), "a line of more than sixty characters that two documents have in common"
+    one, two, long_ = prose(60), prose(70), prose(20_000)
+    near = one.split()
+    near[30] = "other"
+    rows = [
+        (1, one), (2, one + " "), (3, " ".join(near)), (4, None), (5, ""), (6, two), (6, two), (6, prose(50)), (7, long_), (8, prose(30) + " " + leak + " " + prose(30)),
+        (9, line + "\n" + prose(20)), (10, line + "\n" + prose(20)), (11, line), (None, prose(15)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, node long, row_key string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = P.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i in (1, 4, 5, 6, 6, 6, 7, 9, 10, None))
+    short = {r.doc_id: r.n_tokens for r in got if r.doc_id in (4, 5)}
+    assert short == {4: 0, 5: 0}
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
