@@ -1,6 +1,12 @@
 """A training corpus from the documents table: five stages, each written and read again by the next.
 
 A stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents.
+
+Defined results: a null or empty text is drawn by the classifier like any other of weight 0, holds no lines
+that repeat, is near no other and leaks nothing, and has no tokens; a document that loses all its lines goes;
+rows that repeat a doc_id and a text are one document and share its fate, and texts that share a doc_id are
+judged one by one; rows with a null doc_id are classified, decontaminated and encoded, but neither judged nor
+used as source where lines and near duplicates are compared; extra columns are left behind; empty tables give none.
 """
 
 from __future__ import annotations
@@ -30,9 +36,12 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
     common.small_batches(spark)
-    groups = jaccard_join.jaccard_groups(docs)
-    others = common.stored(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(common.if_small(others), "doc_id", "left_anti").select(*COLUMNS)
+    groups = common.stored(jaccard_join.jaccard_groups(docs, row_key=True).select("doc_id", "row_key", "component_id"))
+    first = F.col("doc_id") == F.col("component_id")
+    texts = groups.filter(first).groupBy("component_id").agg(F.min("row_key").alias("least"), F.max("row_key").alias("most")).filter("least < most")  # ids that have several texts
+    others = groups.filter(~first).select("doc_id", "row_key").unionByName(groups.filter(first).join(texts, "component_id").filter("row_key > least").select("doc_id", "row_key")).distinct()
+    keyed = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("text"))
+    return keyed.join(common.if_small(common.stored(others)), ["doc_id", "row_key"], "left_anti").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +66,7 @@ STAGES = [
     ("bpe", encoded),
 ]
 
-#: Hashed models, embeddings and merges aren't SQL; tests/llm compares each stage with a brute-force version.
+#: Hashed models, embeddings and merges aren't SQL; tests/llm compares the operators, and what the stages keep, with brute-force versions.
 ORACLE_SQL = None
 
 
