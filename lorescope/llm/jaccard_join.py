@@ -366,8 +366,8 @@ def links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 # -- operator -------------------------------------------------------------------
 
 
-def jaccard_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, row_key: bool = False) -> DataFrame:
-    """doc_id, n_shingles, n_similar, component_id, and with `row_key` the hash of the text; one row per input row."""
+def jaccard_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, groups: bool = False) -> DataFrame:
+    """doc_id, n_shingles, n_similar, component_id, and with `groups` the hash of the text (row_key) and a name of its component (group_key; null where it has no links by definition), which also tells texts of one id apart; one row per input row."""
     base = C.narrow(docs, "doc_id", "text").withColumn("row_key", F.xxhash64("text")).select("doc_id", "row_key", "text")
     rows = C.stored(base.mapInArrow(_identify(width), "doc_id long, row_key long, n_shingles long, node long"))
     buckets = max(8, 2 * base.rdd.getNumPartitions())
@@ -389,11 +389,11 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     roots = components(found)
     named = roots.join(classes, "node")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(lowest, "root").join(degree, "node").select("node", "others", "component_id")
-    info = C.stored(classes.join(linked, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component_id", "least").alias("component_id")))
+    linked = roots.join(lowest, "root").join(degree, "node").select("node", "root", "others", "component_id")
+    info = C.stored(classes.join(linked, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "node").alias("group_key")))
     out = rows.join(info, "node", "left")
     real = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    return out.select("doc_id", "n_shingles", F.when(real, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_similar"), F.when(real, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *["row_key"] * row_key)
+    return out.select("doc_id", "n_shingles", F.when(real, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_similar"), F.when(real, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *([F.col("row_key"), F.when(real, F.col("group_key")).alias("group_key")] if groups else []))
 
 
 # -- query ----------------------------------------------------------------------
