@@ -36,10 +36,11 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
     common.small_batches(spark)
-    groups = common.stored(jaccard_join.jaccard_groups(docs, row_key=True).select("doc_id", "row_key", "component_id"))
-    first = F.col("doc_id") == F.col("component_id")
-    texts = groups.filter(first).groupBy("component_id").agg(F.min("row_key").alias("least"), F.max("row_key").alias("most")).filter("least < most")  # ids that have several texts
-    others = groups.filter(~first).select("doc_id", "row_key").unionByName(groups.filter(first).join(texts, "component_id").filter("row_key > least").select("doc_id", "row_key")).distinct()
+    groups = jaccard_join.jaccard_groups(docs, groups=True).filter("group_key IS NOT NULL").select("doc_id", "row_key", "group_key")
+    groups = common.stored(groups)
+    one = F.struct("doc_id", "row_key")
+    several = groups.groupBy("group_key").agg(F.min(one).alias("first"), F.max(one).alias("last")).filter("first < last").select("group_key", "first")
+    others = groups.join(several, "group_key").filter(one != F.col("first")).select("doc_id", "row_key").distinct()
     keyed = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("text"))
     return keyed.join(common.if_small(common.stored(others)), ["doc_id", "row_key"], "left_anti").select(*COLUMNS)
 
