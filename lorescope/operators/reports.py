@@ -20,6 +20,23 @@ def link_stats(entries: DataFrame, group: list[str]) -> DataFrame:
     return entries.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *stats("original_size"), *stats("final_size"), F.count_if(F.col("original_size") > 0).alias("n_nonzero"), F.count_if(linked).alias("n_linked"), F.count_if(linked & (F.col("unique_types") > 1)).alias("n_hard"), F.count_if("snippet").alias("n_snippet"), F.count_if("custom").alias("n_custom"))
 
 
+#: Kinds of references that one report covers, those that the generic linker took for such included.
+FAMILIES = {"class": ["class", "annotation", "enumeration"], "method": ["method"], "field": ["field", "annotation field", "enumeration value"]}
+
+
+def family_report(entries: DataFrame, kind: str = "kind") -> DataFrame:
+    """LOG-4: LOG-3 for each family of linkers, by the kind that a reference was linked as; other kinds are left out."""
+    family = F.coalesce(*[F.when(F.col(kind).isin(*kinds), name) for name, kinds in FAMILIES.items()])
+    return link_stats(entries.withColumn("family", family).filter("family IS NOT NULL"), ["family"])
+
+
+def post_class_report(chosen: DataFrame, group: list[str]) -> DataFrame:
+    """LOG-4: references with several classes, and by which rationale one was chosen.  chosen: group, ref_id, rationale."""
+    n = lambda r: F.count_if(F.col("rationale") == r)
+    out = chosen.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), n("highest_frequency").alias("n_highest_frequency"), n("heuristic_depth").alias("n_heuristic_depth"))
+    return out.withColumn("n_filtered", F.col("n_highest_frequency") + F.col("n_heuristic_depth"))
+
+
 def filter_activations(entries: DataFrame, group: list[str]) -> DataFrame:
     """LOG-3: how often each filter of the traces was active."""
     t = entries.select(*group, F.explode("trace").alias("t"))

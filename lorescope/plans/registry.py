@@ -426,6 +426,17 @@ def link_stats(spark, d):
     return s.select(F.col("year").cast("long"), "n", r("original_size_mean", "original_mean"), r("original_size_stddev", "original_stddev"), F.col("original_size_max").alias("original_max"), r("final_size_mean", "final_mean"), r("final_size_stddev", "final_stddev"), "n_linked", "n_hard", "n_snippet")
 
 
+@query("""WITH e AS (SELECT CASE l_linenumber WHEN 1 THEN 'class' WHEN 2 THEN 'method' WHEN 3 THEN 'field' WHEN 4 THEN 'class' WHEN 5 THEN 'field' END AS family, l_quantity::INTEGER AS a, CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity::INTEGER END AS z, l_suppkey % 3 AS types, l_linestatus = 'O' AS snippet FROM lineitem)
+SELECT family, count(*) AS n, round(avg(a), 6) AS original_mean, max(z) AS final_max, count(*) FILTER (z > 0) AS n_linked, count(*) FILTER (z > 0 AND types > 1) AS n_hard, count(*) FILTER (snippet) AS n_snippet FROM e WHERE family IS NOT NULL GROUP BY family""")
+def family_report(spark, d):
+    """LOG-4: line numbers are kinds of references"""
+    kinds = F.create_map(*[F.lit(x) for i, k in enumerate(["class", "method", "field", "annotation", "enumeration value", "unknown", "package"]) for x in (i + 1, k)])
+    li = D.table(spark, d, "lineitem")
+    size = F.col("l_quantity").cast("int")
+    e = li.select(kinds[F.col("l_linenumber")].alias("kind"), size.alias("original_size"), F.when(F.col("l_returnflag") == "R", 0).otherwise(size).alias("final_size"), (F.col("l_suppkey") % 3).alias("unique_types"), (F.col("l_linestatus") == "O").alias("snippet"), F.lit(False).alias("custom"))
+    return reports.family_report(e).select("family", "n", F.round("original_size_mean", 6).alias("original_mean"), F.col("final_size_max").alias("final_max"), "n_linked", "n_hard", "n_snippet")
+
+
 @query("SELECT p_partkey AS id, p_name AS simple_name FROM part WHERE p_type = 'PROMO' AND (lower(p_name) LIKE '%blue%' OR lower(p_brand) LIKE '%blue%')")
 def search(spark, d):
     """SNK-6"""

@@ -216,6 +216,12 @@ def test_links_through_returns(spark):
     assert names(messages.link_by_returns(r, seeds).filter("ref_id = 3"), "element_id") == [(21,)]
 
 
+def test_post_class_report(spark):
+    rows = [(1, 10, "highest_frequency"), (1, 11, "heuristic_depth"), (1, 12, None), (2, 13, "heuristic_depth")]
+    got = reports.post_class_report(spark.createDataFrame(rows, "release long, ref_id long, rationale string"), ["release"])
+    assert names(got, "release", "n", "n_highest_frequency", "n_heuristic_depth", "n_filtered") == [(1, 3, 1, 1, 2), (2, 1, 0, 1, 1)]
+
+
 def test_title_references(spark):
     from lorescope.sources import html
 
