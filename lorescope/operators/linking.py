@@ -226,6 +226,37 @@ def link_classes(refs: DataFrame, elements: DataFrame, filters: DataFrame, kinds
     return fqn_case_filter(custom_class_filter(df, filters))
 
 
+def choose_classes(refs: DataFrame, elements: DataFrame, filters: DataFrame, kinds: list[str]) -> DataFrame:
+    """LNK-5, LNK-6 by number: ref_id, n_candidates and best, the length and the head of what `link_classes` leaves of each reference (null: none).
+
+    No array of candidates is made.  Elements of one name and fqn meet the references as one row, and so do references of one
+    text, so each pair of different texts is scored once, however many rows have them.  Ids of elements are unique.
+    """
+    e = elements.filter(F.col("kind").isin(*kinds) & F.col("simple_name").isNotNull()).groupBy(F.col("simple_name").alias("_name"), F.col("fqn").alias("_fqn")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*CANDIDATE)).alias("e"))
+    e = e.withColumn("_key", F.lower("_name")).withColumn("_grams", bigrams("_fqn"))
+    text = ["simple_name", "fqn", "in_snippet", "_loose"]
+    asked = refs.withColumn("_loose", ~F.col("in_snippet") & (F.col("source") != "d"))
+    own = asked.select(*text).distinct().withColumn("_key", F.lower("simple_name")).withColumn("_own", bigrams("fqn"))
+    pairs = own.join(e, "_key").filter(F.col("_loose") | (F.col("simple_name") == F.col("_name")))
+    score = F.when(F.col("fqn") == F.col("_fqn"), F.lit(1.0)).otherwise(F.coalesce(F.size(F.array_intersect("_own", "_grams")) * 2.0 / F.nullif(F.size("_own") + F.size("_grams"), F.lit(0)), F.lit(0.0)))
+    same = (F.lower("_fqn") == F.lower("fqn")) | (F.col("_name") == F.col("simple_name"))
+    cased = ~F.col("in_snippet") & (F.instr("fqn", ".") > 0) & ~placeholder()
+    kept = F.coalesce(F.when(cased, same).otherwise(F.lit(True)), F.lit(False))
+    scored = pairs.select(*text, "_n", "e", (-score).alias("s"), kept.alias("kept"))
+    found = scored.groupBy(*text).agg(F.sum("_n").alias("_all"), F.coalesce(F.sum(F.when(F.col("kept"), F.col("_n"))), F.lit(0)).alias("_left"), F.min(F.when(F.col("kept"), F.col("e"))).alias("_first"), F.min(F.struct("s", "e", "kept")).alias("_likest"))
+    plain = (F.col("fqn") == F.col("simple_name")) | placeholder() | (F.col("_all") < 2)
+    like = F.when(F.col("_likest.kept"), F.col("_likest.e"))
+    alone = ~F.coalesce(plain, F.lit(False)) & (-F.col("_likest.s") >= SIMILAR)
+    number = F.when(alone, F.col("_likest.kept").cast("long")).otherwise(F.col("_left"))
+    best = F.when(alone, like).when(plain, F.col("_first")).otherwise(F.coalesce(like, F.col("_first")))
+    found = found.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(text)], number.alias("n_candidates"), best.alias("best"))
+    on = F.lit(True)
+    for i, c in enumerate(text):
+        on = on & F.col(c).eqNullSafe(F.col(f"_t{i}"))
+    df = _filtered(asked.join(found, on, "left"), filters, F.col("fqn"), F.col("simple_name"), "_hit")
+    return df.select("ref_id", F.when(F.col("_hit"), F.lit(0)).otherwise(F.coalesce("n_candidates", F.lit(0))).cast("long").alias("n_candidates"), F.when(~F.col("_hit"), F.col("best")).alias("best"))
+
+
 def _no_filters(refs: DataFrame) -> DataFrame:
     return refs.sparkSession.createDataFrame([], "fqn string, include_snippet boolean, one_ref_only boolean, include_member boolean")
 
