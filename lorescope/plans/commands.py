@@ -226,7 +226,7 @@ def remove_page(w: Workspace, pattern: str) -> DataFrame:
 
 
 def doc_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    return docdiff.match(old, new, docdiff.score_pages(old, new))
+    return docdiff.match_pages(old, new)
 
 
 def doc_link_diff(matched: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
