@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import nearest_flagged
+from .graph import checkpointed, nearest_flagged
 
 TOP = 25
 
@@ -59,16 +59,30 @@ def merge_recommendations(table: pd.DataFrame) -> pd.DataFrame:
 
 
 def super_recommendations(recs: DataFrame, group: list[str]) -> DataFrame:
-    """REC-6: group, super_rec, rec.  recs: group, rec, members (sorted array)."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in recs.schema if f.name in group)
+    """REC-6: group, super_rec, rec, as `merge_recommendations` of each group has it.  recs: group, rec, members (sorted array without repeats).
 
-    def run(key, table):
-        out = merge_recommendations(table)
-        for name, value in zip(group, key):
-            out[name] = value
-        return out[[*group, "super_rec", "rec"]]
-
-    return recs.groupBy(*group).applyInPandas(run, f"{schema}, super_rec long, rec long")
+    Taking in is transitive, so the owners are the sets that no other holds, the first rec of equal ones, and the last owner
+    in the order (most members, then rec) that holds a set has it.  A set meets only those that have its rarest member, so
+    no task needs a whole group.  A null rec or null members are left out.
+    """
+    rows = checkpointed(recs.filter("rec IS NOT NULL AND members IS NOT NULL").select(*group, "rec", "members"))
+    sets = checkpointed(rows.groupBy(*group, "members").agg(F.min("rec").alias("rec")).withColumn("_n", F.size("members")))
+    on = lambda a, b, *more: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*group, *more)]
+    items = sets.select(*group, "rec", "_n", F.explode("members").alias("_m"))
+    held = items.groupBy(*group, "_m").agg(F.count(F.lit(1)).alias("_k"))
+    rare = items.alias("i").join(held.alias("h"), on("i", "h", "_m")).groupBy(*[F.col(f"i.{c}").alias(c) for c in group], F.col("i.rec").alias("rec")).agg(F.min(F.struct("_k", "i._m")).alias("_r")).filter("_r._k > 1")
+    small = rare.alias("r").join(sets.alias("s"), on("r", "s", "rec")).select(*[F.col(f"s.{c}").alias(c) for c in group], "s.rec", "s.members", "s._n", F.col("_r._m").alias("_m"))
+    large = items.alias("i").join(rare.select(*group, F.col("_r._m").alias("_m")).distinct().alias("r"), on("i", "r", "_m"), "left_semi").alias("i").join(sets.alias("s"), on("i", "s", "rec")).select(*[F.col(f"i.{c}").alias(c) for c in group], F.col("i.rec").alias("rec"), "s.members", F.col("i._n").alias("_n"), "_m")
+    inside = small.alias("a").join(large.alias("b"), [*on("a", "b", "_m"), F.col("a._n") < F.col("b._n"), F.size(F.array_except("a.members", "b.members")) == 0])
+    pairs = checkpointed(inside.select(*[F.col(f"a.{c}").alias(c) for c in group], F.col("a.rec").alias("rec"), F.col("b.rec").alias("over"), F.col("b._n").alias("_n")))
+    owners = checkpointed(sets.alias("a").join(pairs.alias("b"), on("a", "b", "rec"), "left_anti").select(*group, "rec", "_n"))
+    # an empty set is inside every other: the last owner of its group has it
+    last = owners.filter("_n > 0").groupBy(*group).agg(F.max(F.struct((-F.col("_n")).alias("n"), F.col("rec").alias("over"))).getField("over").alias("_empty"))
+    over = pairs.alias("a").join(owners.select(*group, F.col("rec").alias("over")).alias("b"), on("a", "b", "over"), "left_semi").groupBy(*group, "rec").agg(F.max(F.struct((-F.col("_n")).alias("n"), "over")).alias("_o"))
+    named = sets.alias("s").join(over.alias("o"), on("s", "o", "rec"), "left").join(last.alias("l"), on("s", "l"), "left")
+    owner = F.when(F.col("s._n") == 0, F.coalesce("_empty", "s.rec")).otherwise(F.coalesce("_o.over", "s.rec"))
+    named = named.select(*[F.col(f"s.{c}").alias(c) for c in group], F.col("s.members").alias("members"), owner.alias("super_rec"))
+    return rows.alias("r").join(named.alias("n"), on("r", "n", "members")).select(*[F.col(f"r.{c}").alias(c) for c in group], F.col("super_rec").cast("long").alias("super_rec"), F.col("r.rec").cast("long").alias("rec"))
 
 
 def overloading(new_members: DataFrame, elements: DataFrame, key: list[str]) -> DataFrame:
