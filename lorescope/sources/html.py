@@ -208,13 +208,32 @@ def number_of(title: str | None) -> str:
     return (m[1] if m[1].endswith(".") or "." in m[1] else m[1] + ".") if m else "1."
 
 
+#: Pages that come to a worker at once, and rows that leave it at once.
+BATCH_PAGES, FOUND_ROWS = 128, 2000
+
+
+def _small_batches(spark) -> None:
+    """At most BATCH_PAGES rows in an Arrow batch from here on in this session; of Spark's 10,000 a worker would hold all pages and all that is found in them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_PAGES:
+        spark.conf.set(name, str(BATCH_PAGES))
+
+
 def _rows(df: DataFrame, key: str, html: str, rows, schema: str) -> DataFrame:
     names = [key, *(c.strip().split()[0] for c in schema.split(","))]
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame([(k, *r) for k, text in zip(b[key], b[html]) for r in rows(parse(text))], columns=names)
-
+            found = []
+            for k, text in zip(b[key], b[html]):
+                for r in rows(parse(text)):
+                    found.append((k, *r))
+                    if len(found) == FOUND_ROWS:
+                        yield pd.DataFrame(found, columns=names)
+                        found = []
+            yield pd.DataFrame(found, columns=names)
+
+    _small_batches(df.sparkSession)
     return df.select(df[key], df[html]).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {schema}")
 
 
